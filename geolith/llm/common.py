@@ -116,3 +116,39 @@ def components(edges: DataFrame, label: str = "cc", rounds: int = 60) -> DataFra
     children = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return children.union(roots)
+
+
+def slices(batches, rows: int = 256):
+    """Arrow batches in smaller pieces, so that what is built from texts stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def texts(batch, column: str = "text") -> list[bytes]:
+    """UTF-8 bytes of a string column; null is empty."""
+    import pyarrow as pa
+
+    return [x or b"" for x in batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()]
+
+
+def rest_of(batch, added: dict):
+    """The batch without the named columns, and then those."""
+    import pyarrow as pa
+
+    keep = [i for i, n in enumerate(batch.schema.names) if n not in added]
+    names = [batch.schema.names[i] for i in keep]
+    return pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *added.values()], names=[*names, *added])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, bound: int):
+    """At most `bound` labelled documents to learn from, as pandas (text, y): those least by a hash of doc_id, without
+    the held-out bucket. Whole texts; an id that repeats counts once, with its greatest text and label."""
+    picked = labels.where(F.col(label).isNotNull() & (bucket(F.col("doc_id"), modulus) != held)).groupBy("doc_id").agg(F.max(label).alias("y"))
+    # labels of documents that are not there must not take up the bound
+    there = docs.select("doc_id").join(picked, "doc_id", "left_semi").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    few = cut(picked.join(there, "doc_id"), "sample")
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "y").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
+    with setting(docs.sparkSession, spark__sql__execution__arrow__pyspark__enabled="true"):
+        found = rows.select("doc_id", "text", F.col("y").cast("int").alias("y")).toPandas()
+    return found.sort_values("doc_id")[["text", "y"]].reset_index(drop=True)

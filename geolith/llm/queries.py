@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, url_filter
+from . import chat, decontaminate, exact_dedup, packing, quality, toxicity, url_filter
+from .common import bucket, labelled_sample
+
+import public_tokenizers
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +51,49 @@ from o group by conv_id, speaker, part
 """
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.find_overlaps(docs, items)
+    hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, h: a + h["end"] - h["start"])
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"),
+    )
+
+
+OP5_SQL = r"""
+with dw as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+iw as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+il as (select item_id, w, least(8, len(w)) as k from iw where len(w) > 0),
+iwin as (select distinct item_id, k, array_to_string(w[p : p + k - 1], ' ') as g from (select *, unnest(range(1, len(w) - k + 2)) as p from il)),
+ks as (select distinct k from iwin),
+dwin as (select doc_id, k, p, array_to_string(w[p : p + k - 1], ' ') as g from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as p from dw, ks where len(w) >= k)),
+h as (select d.doc_id, d.p, d.k, i.item_id from dwin d join iwin i on i.k = d.k and i.g = d.g),
+nh as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + k)) as q from (select distinct doc_id, p, k from h)) group by doc_id),
+ni as (select doc_id, count(*) as n_items, string_agg(s, ',' order by s) as ids from (select distinct doc_id, cast(item_id as varchar) as s from h) group by doc_id)
+select dw.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated
+from dw left join nh using (doc_id) left join ni using (doc_id)
+"""
+
+
+def op6_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(labelled_sample(docs, labels, "toxic", 5, 0, toxicity.BOUND))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+
+
+def op7_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = quality.score(docs, *quality.fit(labelled_sample(docs, labels, "quality", 4, 2, quality.BOUND)))
+    return scored.select("doc_id", (bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """url, bad: a page's number in its path names the document it shows; bad is low quality or toxic, null if unlabelled."""
     _, path = url_filter.split_url(F.col("url"))
@@ -61,5 +107,5 @@ def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, page_outcomes(pages, labels)).drop("bad_rate_low")
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_chat_rotation, op9_url_reputation)}
-ORACLES = {"op3_exact_dedup": OP3_SQL, "op4_chat_rotation": OP4_SQL}
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_chat_rotation, op5_decontamination, op6_toxicity_crf, op7_quality_ftrl, op8_packing, op9_url_reputation)}
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op4_chat_rotation": OP4_SQL, "op5_decontamination": OP5_SQL}
