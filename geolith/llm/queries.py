@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, packing, quality, toxicity, url_filter
+from . import chat, decontaminate, exact_dedup, packing, quality, simhash, toxicity, url_filter
 from .common import bucket, labelled_sample
 
 import public_tokenizers
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet").drop("locator")
 
@@ -107,5 +112,5 @@ def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, page_outcomes(pages, labels)).drop("bad_rate_low")
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_chat_rotation, op5_decontamination, op6_toxicity_crf, op7_quality_ftrl, op8_packing, op9_url_reputation)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_exact_dedup, op4_chat_rotation, op5_decontamination, op6_toxicity_crf, op7_quality_ftrl, op8_packing, op9_url_reputation)}
 ORACLES = {"op3_exact_dedup": OP3_SQL, "op4_chat_rotation": OP4_SQL, "op5_decontamination": OP5_SQL}
