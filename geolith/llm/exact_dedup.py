@@ -38,7 +38,7 @@ def update_state(spark: SparkSession, path: str, state_dir: str) -> DataFrame:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{table}/at={number}")
 
     rocks = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    with setting(spark, spark__sql__streaming__stateStore__providerClass=rocks):
+    with setting(spark, spark__sql__streaming__stateStore__providerClass=rocks, spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false"):  # each store would claim megabytes ahead
         rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", "4096").parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern, as a stream takes one file by pattern only
         where = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
         state = (
