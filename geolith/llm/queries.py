@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, packing, quality, simhash, toxicity, url_filter
+from . import chat, decontaminate, exact_dedup, line_dedup, packing, quality, simhash, toxicity, url_filter
 from .common import bucket, labelled_sample
 
 import public_tokenizers
@@ -112,5 +112,10 @@ def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, page_outcomes(pages, labels)).drop("bad_rate_low")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_exact_dedup, op4_chat_rotation, op5_decontamination, op6_toxicity_crf, op7_quality_ftrl, op8_packing, op9_url_reputation)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", "n_links", "first_docs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_exact_dedup, op4_chat_rotation, op5_decontamination, op6_toxicity_crf, op7_quality_ftrl, op8_packing, op9_url_reputation, op10_line_dedup)}
 ORACLES = {"op3_exact_dedup": OP3_SQL, "op4_chat_rotation": OP4_SQL, "op5_decontamination": OP5_SQL}
