@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, line_dedup, packing, quality, simhash, toxicity, url_filter
+from . import chat, decontaminate, exact_dedup, line_dedup, packing, pitman_yor, quality, simhash, toxicity, url_filter
 from .common import bucket, labelled_sample
 
 import public_tokenizers
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -117,5 +121,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", "n_links", "first_docs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_exact_dedup, op4_chat_rotation, op5_decontamination, op6_toxicity_crf, op7_quality_ftrl, op8_packing, op9_url_reputation, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pitman_yor, op2_simhash, op3_exact_dedup, op4_chat_rotation, op5_decontamination, op6_toxicity_crf, op7_quality_ftrl, op8_packing, op9_url_reputation, op10_line_dedup)}
 ORACLES = {"op3_exact_dedup": OP3_SQL, "op4_chat_rotation": OP4_SQL, "op5_decontamination": OP5_SQL}
