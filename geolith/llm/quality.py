@@ -68,7 +68,7 @@ def train_ftrl(examples, labels, bits: int = BITS, alpha: float = 0.5, beta: flo
     packed = []
     for ids, size in examples:
         u, c = np.unique(ids, return_counts=True)
-        packed.append((u, c * (SCALE / size)))
+        packed.append((u.astype(np.int32), (c * (SCALE / size)).astype(np.float32)))
 
     def weight(zz, nn):
         return np.where(np.abs(zz) <= l1, 0.0, -(zz - np.sign(zz) * l1) / ((beta + np.sqrt(nn)) / alpha + l2))
@@ -96,7 +96,7 @@ def fit(sample, bits: int = BITS, **how) -> tuple[np.ndarray, float]:
         share = min(1 - 1e-6, max(1e-6, share))
         return np.zeros(1 << bits, np.float32), float(np.log(share / (1 - share)))
     make = Features(bits)
-    return train_ftrl([make.rows(t.encode()) for t in sample["text"]], y, bits, **how)
+    return train_ftrl((make.rows(t.encode()) for t in sample["text"]), y, bits, **how)
 
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float, bits: int = BITS, name: str = "score") -> DataFrame:

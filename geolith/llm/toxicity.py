@@ -116,18 +116,24 @@ def marginals(energy: np.ndarray, start: np.ndarray, trans: np.ndarray, pairs: b
 # ---- learning ----------------------------------------------------------------------------------------------------------
 
 
-def tag_words(docs: list[list[str]], y: np.ndarray, least: int = 4, clean: float = 0.02) -> list[np.ndarray]:
-    """1 for the words of toxic documents that are told by the labels: in `least` toxic documents or more, and in clean ones
-    at no more than `clean` of the rate."""
-    counts: dict[str, list[int]] = {}
-    for words, label in zip(docs, y, strict=True):
-        for key in {k for w in set(words) for k in (w, "\0" + w[:5])}:
-            counts.setdefault(key, [0, 0])[int(label)] += 1
+def told_words(words: list[str], docs: list[np.ndarray], y: np.ndarray, least: int = 4, clean: float = 0.02) -> np.ndarray:
+    """True for the words (docs hold their numbers) that the labels tell: they, or what they begin with, are in so many toxic
+    documents that chance alone makes no such word, and in clean ones at no more than `clean` of the rate."""
+    def numbered(size: int):
+        seen: dict[str, int] = {}
+        return np.array([seen.setdefault(w[:size], len(seen)) for w in words], np.int64), len(seen)
+
+    groups = [(np.arange(len(words)), len(words)), numbered(4), numbered(5)]
+    counts = [np.zeros((2, n)) for _, n in groups]
+    for ids, label in zip(docs, y, strict=True):
+        own = np.unique(ids)
+        for (group, _), c in zip(groups, counts, strict=True):
+            c[int(label), np.unique(group[own])] += 1
     toxic, rest = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-    # enough that chance alone would make no such word: rate^k times the number of words far below one
-    need = max(least, int(np.ceil(np.log(1e-3 / max(1, len(counts))) / np.log(max(1e-9, toxic / (toxic + rest))))))
-    told = {k for k, (c, t) in counts.items() if t >= need and c / rest <= clean * t / toxic}
-    return [np.array([label and (w in told or "\0" + w[:5] in told) for w in words], float) for words, label in zip(docs, y, strict=True)]
+    # rate^k times the number of words far below one
+    need = max(least, int(np.ceil(np.log(1e-3 / (1 + sum(n for _, n in groups))) / np.log(toxic / (toxic + rest)))))
+    told = lambda c: (c[1] >= need) & (c[0] / rest <= clean * c[1] / toxic)
+    return np.logical_or.reduce([told(c)[group] for (group, _), c in zip(groups, counts, strict=True)])
 
 
 class Model:
@@ -154,48 +160,64 @@ def fit(sample, bits: int = BITS, rounds: int = 40, rate: float = 0.3, l2: float
     size = 1 << bits
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(size, np.float32), np.zeros(size, np.float32), np.zeros(size, np.float32), 0.0, np.zeros((2, 2)), float(y.mean()) if len(y) else 0.5)
-    docs = [words_of(t) for t in sample["text"]]
-    tags = tag_words(docs, y)
     number: dict[str, int] = {}
-    ids = np.array([number.setdefault(w, len(number)) for d in docs for w in d], np.int64)
-    tag = np.concatenate(tags)
-    start = np.zeros(len(ids), bool)
-    start[[x for x in np.cumsum([0, *map(len, docs)])[:-1] if x < len(ids)]] = True
-    lengths = np.array([len(d) for d in docs])
-    feats = np.array([word_features(w, bits) for w in number])
-    ends = np.append(start[1:], True)
-    observed = np.zeros((2, 2))
-    inner = ~start[1:]
-    np.add.at(observed, (tag[:-1][inner].astype(int), tag[1:][inner].astype(int)), 1)
+    docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in sample["text"]]
+    told = told_words(list(number), docs, y)
+    feats = np.array([word_features(w, bits) for w in number], np.int32).reshape(-1, 4)
+    v = len(number)
+    # chains side by side, so many words at a time
+    chunks, held, words = [], [], 0
+    for k, ids in enumerate(docs):
+        held.append(k)
+        words += len(ids)
+        if words >= 200_000 or k == len(docs) - 1:
+            ids = np.concatenate([docs[i] for i in held])
+            start = np.zeros(len(ids) + 1, bool)
+            start[np.cumsum([0, *(len(docs[i]) for i in held)])] = True
+            tag = np.concatenate([told[docs[i]] * y[i] for i in held])
+            chunks.append((ids, start[:-1], tag, held))
+            held, words = [], 0
     own, before, after, trans, bias = np.zeros(size), np.zeros(size), np.zeros(size), np.zeros((2, 2)), -3.0
-    v, sq = len(number), {k: 1e-8 for k in ("o", "b", "a", "t", "c")}
+    observed = np.zeros((2, 2))
+    for _, start, tag, _ in chunks:
+        inner = ~start[1:]
+        np.add.at(observed, (tag[:-1][inner].astype(int), tag[1:][inner].astype(int)), 1)
     sq = {"o": np.full(size, 1e-6), "b": np.full(size, 1e-6), "a": np.full(size, 1e-6), "t": np.full((2, 2), 1e-6), "c": 1e-6}
 
-    def energy():
-        e = own[feats].sum(axis=1)[ids] + bias
-        wb, wa = before[feats[:, 0]][ids], after[feats[:, 0]][ids]
-        e[1:] += np.where(start[1:], 0, wb[:-1])
-        e[:-1] += np.where(ends[:-1], 0, wa[1:])
+    def energies(tables, ids, start):
+        e = tables[0][ids] + bias
+        e[1:] += np.where(start[1:], 0, tables[1][ids[:-1]])
+        e[:-1] += np.where(start[1:], 0, tables[2][ids[1:]])
         return e
 
+    def by_word():
+        return own[feats].sum(axis=1), before[feats[:, 0]], after[feats[:, 0]]
+
     for _ in range(rounds):
-        p, pairs = marginals(energy(), start, trans, pairs=True)
-        g = p - tag
-        g[np.abs(g) < 1e-9] = 0
-        per = np.bincount(ids, g, v)
-        go = np.bincount(feats.ravel(), np.repeat(per, feats.shape[1]), size)
-        gb = np.bincount(feats[:, 0], np.bincount(ids[:-1], np.where(start[1:], 0, g[1:]), v), size)
-        ga = np.bincount(feats[:, 0], np.bincount(ids[1:], np.where(ends[:-1], 0, g[:-1]), v), size)
-        for name, w, gr in (("o", own, go), ("b", before, gb), ("a", after, ga), ("t", trans, pairs - observed)):
+        tables, sums, expected, gc = by_word(), np.zeros((3, v)), np.zeros((2, 2)), 0.0
+        for ids, start, tag, _ in chunks:
+            if not len(ids):
+                continue
+            p, pairs = marginals(energies(tables, ids, start), start, trans, pairs=True)
+            g, expected = p - tag, expected + pairs
+            sums[0] += np.bincount(ids, g, v)
+            sums[1] += np.bincount(ids[:-1], np.where(start[1:], 0, g[1:]), v)
+            sums[2] += np.bincount(ids[1:], np.where(start[1:], 0, g[:-1]), v)
+            gc += float(g.sum())
+        go = np.bincount(feats.ravel(), np.repeat(sums[0], 4), size)
+        gb, ga = np.bincount(feats[:, 0], sums[1], size), np.bincount(feats[:, 0], sums[2], size)
+        for name, w, gr in (("o", own, go), ("b", before, gb), ("a", after, ga), ("t", trans, expected - observed)):
             gr = gr + l2 * w
             sq[name] += gr * gr
             w -= rate * gr / np.sqrt(sq[name])
-        gc = float(g.sum())
         sq["c"] += gc * gc
         bias -= rate * gc / np.sqrt(sq["c"])
     model = Model(own.astype(np.float32), before.astype(np.float32), after.astype(np.float32), bias, trans, 0.5)
-    p = marginals(energy(), start, trans)
-    x = np.array([summary(part) for part in np.split(p, np.cumsum(lengths)[:-1])])
+    tables, x = by_word(), np.zeros((len(docs), 3))
+    for ids, start, _, held in chunks:
+        p = marginals(energies(tables, ids, start), start, trans)
+        for k, part in zip(held, np.split(p, np.cumsum([len(docs[i]) for i in held])[:-1]), strict=True):
+            x[k] = summary(part)
     c = np.zeros(3)
     for _ in range(30):  # Newton's steps, ridge for separable data
         q = 1 / (1 + np.exp(-np.clip(x @ c, -35, 35)))
