@@ -36,35 +36,34 @@ def normal(line: Column) -> Column:
     return F.trim(lower_ascii(line))
 
 
-def _segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
-    """Start (from 0) and size of segment i (from 0) of k; the last ones take the rest."""
-    base = F.floor(length / k).cast("int")
-    extra = length - base * k
-    start = F.lit(i) * base + F.greatest(F.lit(0), F.lit(i - k) + extra)
-    return start.cast("int"), (base + (F.lit(i) >= F.lit(k) - extra).cast("int")).cast("int")
-
-
-def filed(line: Column, length: Column, edits: int = EDITS) -> Column:
-    """Hash keys of a line's own segments."""
-    keys = []
-    for i in range(edits + 1):
-        start, size = _segment(length, i, edits + 1)
-        keys.append(F.xxhash64(F.substring(line, start + 1, size), length, F.lit(i)))
-    return F.array(*keys)
-
-
-def probes(line: Column, length: Column, edits: int = EDITS) -> Column:
-    """Hash keys under which a line of this or a shorter length may be filed."""
-    keys = []
-    for shorter in range(edits + 1):
-        other = (length - shorter).cast("int")
-        for i in range(edits + 1):
-            start, size = _segment(other, i, edits + 1)
-            # at most i edits before segment i, and at most edits - i after it
-            for move in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                at = start + move
-                keys.append(F.when((at >= 0) & (at + size <= length), F.xxhash64(F.substring(line, at + 1, size), other, F.lit(i))))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+def _keys(lines: DataFrame, places: list[tuple[int, int, int]], edits: int) -> DataFrame:
+    """line_id, key: for each (shorter, i, move) the hash of the substring that segment i of a line shorter by so much would cover,
+    moved by so much, with that length and i; none where it lies outside the line.
+
+    The places are rows, not expressions side by side, so that the compiled code stays small enough for the JVM to compile.
+    """
+    k = edits + 1
+    spec = F.array(*(F.struct(F.lit(n).alias("shorter"), F.lit(i).alias("i"), F.lit(m).alias("move")) for n, i, m in places))
+    rows = lines.select("line_id", "line", "size", F.explode(spec).alias("s")).select("line_id", "line", "size", "s.i", "s.move", (F.col("size") - F.col("s.shorter")).alias("other"))
+    # segments of other div k characters; the last ones take the rest
+    rows = rows.withColumn("base", F.expr(f"cast(other div {k} as int)"))
+    extra = F.col("other") - F.col("base") * k
+    rows = rows.withColumn("at", F.col("i") * F.col("base") + F.greatest(F.lit(0), F.col("i") - k + extra) + F.col("move"))
+    rows = rows.withColumn("long", F.col("base") + (F.col("i") >= k - extra).cast("int"))
+    rows = rows.where((F.col("at") >= 0) & (F.col("at") + F.col("long") <= F.col("size")))
+    return rows.select("line_id", F.xxhash64(F.substring("line", F.col("at") + 1, F.col("long")), "other", "i").alias("key"))
+
+
+def filed(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """The keys of a line's own segments."""
+    return _keys(lines, [(0, i, 0) for i in range(edits + 1)], edits)
+
+
+def probes(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """The keys under which a line of this or a shorter length may be filed: at most i edits before segment i, and at most
+    edits - i after it."""
+    places = [(n, i, m) for n in range(edits + 1) for i in range(edits + 1) for m in range(max(-i, n - (edits - i)), min(i, n + (edits - i)) + 1)]
+    return _keys(lines, places, edits)
 
 
 def bit_parallel_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
@@ -75,10 +74,8 @@ def bit_parallel_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
     """
     width = 2 * edits + 2
     full, top = (1 << width) - 1, 1 << (width - 1)
-    chars = F.split(a, "")
-    size = F.length(a)
 
-    def step(acc, c):
+    def step(acc, c, chars, size):
         j = acc["j"]
         # bit width - 1 - edits + k stands for place j + k of a
         match = F.lit(0)
@@ -101,23 +98,28 @@ def bit_parallel_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
         )
 
     first = F.struct(F.lit(0).alias("j"), F.lit(edits).alias("d"), F.lit((full << (width - 1 - edits)) & full).alias("p"), F.lit(0).alias("n"))
-    found = F.aggregate(F.filter(F.split(b, ""), lambda x: x != ""), first, step, lambda acc: acc["d"])
-    return F.when(F.abs(size - F.length(b)) > edits, F.lit(edits + 1)).otherwise(F.least(found, F.lit(edits + 1)))
+
+    def run(s):
+        return F.aggregate(s["b"], first, lambda acc, c: step(acc, c, s["a"], s["size"]), lambda acc: acc["d"])
+
+    # bound once as a lambda's variable: inside a fold, anything else is worked out anew for each character
+    letters = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
+    bound = F.array(F.struct(letters(a).alias("a"), letters(b).alias("b"), F.length(a).alias("size")))
+    found = F.get(F.transform(bound, run), F.lit(0))
+    return F.when(F.abs(F.length(a) - F.length(b)) > edits, F.lit(edits + 1)).otherwise(F.least(found, F.lit(edits + 1)))
 
 
 def unique_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """Each different line: line_id, line, copies, first (struct doc_id, place). A cut table."""
+    """Each different line: line_id, line, size (characters), copies, first (struct doc_id, place). A cut table."""
     rows = docs.select("doc_id", F.posexplode(F.transform(split_lines(F.col("text")), normal)).alias("place", "line")).where(F.length("line") >= least)
     lines = rows.groupBy("line").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "place")).alias("first"))
-    return cut(lines.withColumn("line_id", F.monotonically_increasing_id()), "lines")
+    return cut(lines.withColumn("size", F.length("line")).withColumn("line_id", F.monotonically_increasing_id()), "lines")
 
 
 def link(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """lines: line_id, line -> pairs a < b (line_id) with their distance, 1 to edits. A cut table."""
-    length = F.length("line")
-    own = lines.select("line_id", F.explode(filed(F.col("line"), length, edits)).alias("key"))
-    looked = lines.select(F.col("line_id").alias("other"), F.explode(probes(F.col("line"), length, edits)).alias("key"))
-    pairs = own.join(looked, "key").where("line_id <> other").select(F.least("line_id", "other").alias("a"), F.greatest("line_id", "other").alias("b")).distinct()
+    """lines: line_id, line, size -> pairs a < b (line_id) with their distance, 1 to edits. A cut table."""
+    own, looked = filed(lines, edits), probes(lines, edits).withColumnRenamed("line_id", "other_id")
+    pairs = own.join(looked, "key").where("line_id <> other_id").select(F.least("line_id", "other_id").alias("a"), F.greatest("line_id", "other_id").alias("b")).distinct()
     pairs = cut(pairs, "line-pairs")
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct(), "line-ids")
     few = ids.count() <= BROADCAST_LINES

@@ -11,6 +11,10 @@ often as they occur. Extra columns are ignored.
 
 from __future__ import annotations
 
+import sys
+from array import array
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +27,13 @@ SIZE = 4096
 # ---- tokens ------------------------------------------------------------------------------------------------------------
 
 
+def _bytes(ids: list[int]) -> bytes:
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
 class WordEncoder:
     """Ids of a text whose words, between ASCII blanks, are encoded on their own.
 
@@ -30,7 +41,7 @@ class WordEncoder:
     words' ids in a row; each different word is encoded once while it is remembered.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.seen = Tokenizer.from_file(path), most, {}
@@ -40,11 +51,30 @@ class WordEncoder:
         if len(self.seen) > self.most:
             self.seen.clear()
         seen, parts = self.seen, [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in batch]
-        new = list({w for p in parts for w in p if w not in seen})
-        for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else (), strict=True):
-            seen[word] = np.array(got.ids, "<u4").tobytes()
+        new = {w: self._stem(w) for p in parts for w in p if w not in seen}
+        if new:
+            stems = list({x for s, tail in new.values() for x in (s, tail) if x not in seen})
+            for word, got in zip(stems, self.tokenizer.encode_batch_fast(stems, add_special_tokens=False), strict=True):
+                seen[word] = _bytes(got.ids)
+            for word, (stem, tail) in new.items():
+                seen[word] = seen[stem] + seen[tail]
         return [b"".join([seen[w] for w in p]) for p in parts]
 
+    @staticmethod
+    def _stem(word: str) -> tuple[str, str]:
+        """Two texts whose ids in a row are the word's: a stop or comma after a letter is a token of its own (Latin ones, as
+        others may fall apart when normalised), and case is dropped."""
+        tail = ""
+        if len(word) > 1 and word[-1] in ".," and word[-2] < "\u0250" and word[-2].lower().isalpha():
+            word, tail = word[:-1], word[-1]
+        return (word.lower() if word.isascii() and "<" not in word else word), tail
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """One for each worker process, so that words are remembered from task to task."""
+    return WordEncoder(path)
+
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
@@ -59,7 +89,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int =
         import pyarrow as pa
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        encode = WordEncoder(tokenizer_path)
+        encode = encoder(tokenizer_path)
         for batch in slices(batches):
             ids = encode([t or "" for t in batch.column(1).to_pylist()])
             doc, piece, start, length, out = [], [], [], [], []

@@ -5,7 +5,7 @@ whose customers are their tables, and whose own base is uniform. Who sits where
 table and chooses again among the tables of its dish (size less the discount) and a new one (strength plus discount times tables, times
 the parent's probability). Predictive probabilities are averaged over the last sweeps, and give scores and perplexities.
 
-Words: the `vocabulary` most frequent training words are dishes of their own; the others share one dish, and take their
+Words: the most frequent training words (at most `vocabulary`) are dishes of their own; the others share one dish, and take their
 add-one share of it by their own count. All words are counted, over all training documents, and all pairs take seats, so
 what is gathered grows with the corpus; only the vocabulary and vectors over it (64 K entries) reach the driver and the executors.
 
@@ -207,6 +207,20 @@ def count_words(docs: DataFrame) -> DataFrame:
     return cut(docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
+def frequent_words(counts: DataFrame, most: int):
+    """The most frequent words, at most so many, as pandas: all whose count is over a mark. The mark is set on a scale of
+    steps of 2 %, so that only a few hundred numbers and then the words themselves come to the driver."""
+    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.02))).cast("int")
+    steps = sorted(((r[0], r[1]) for r in counts.groupBy(step.alias("s")).count().collect()), reverse=True)
+    mark, taken = None, 0
+    for s, k in steps:
+        if taken + k > most:
+            break
+        mark, taken = s, taken + k
+    kept = counts.where(step >= mark) if mark is not None else counts.limit(0)
+    return kept.toPandas().sort_values(["n", "word"], ascending=[False, True], kind="stable")
+
+
 def deal_pairs(docs: DataFrame, ids, parts: int) -> DataFrame:
     """One row a part: pairs (context << 16 | word, sorted), train counts, occurrences of each, and the rows they are in. A cut table."""
 
@@ -303,7 +317,7 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, part_tokens:
     counts = count_words(docs)
     total = counts.agg(F.sum("n"), F.count("*")).first()
     n, v = total[0] or 0, total[1]
-    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).toPandas()
+    top = frequent_words(counts, vocabulary)
     ids = {bytes(w): k + 1 for k, w in enumerate(top["word"])}
     size = len(ids) + 1
     c = np.concatenate(([0], top["n"].to_numpy(np.int64)))
@@ -333,7 +347,8 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, part_tokens:
 
     lines = cut(docs.mapInArrow(outline, "key long, doc_id long, held_out boolean, n_tokens long, known long, base double, rare array<binary>"), "outline")
     tokens = lines.agg(F.sum("n_tokens")).first()[0] or 0
-    pairs = deal_pairs(docs, held, max(1, -(-tokens // part_tokens)))
+    shares = max(1, -(-tokens // part_tokens))
+    pairs = deal_pairs(docs, held, shares)
 
     # first totals: one table a pair, the parent by plain counts
     starts = by_vocabulary(pairs, size, lambda p, x, k: [(x >> 16, k), (x >> 16, (k > 0).astype(float)), (x & 0xFFFF, (k > 0).astype(float)), (np.minimum(k, 3).astype(np.int64), np.ones(len(k)))])
@@ -372,9 +387,22 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, part_tokens:
                 for t, at in zip(part_tables(r["part"], x, cnt, history, theta, discount, len(last)), last, strict=True):
                     p += (np.maximum(cnt - discount * t, 0) + (theta + discount * at.tables[u]) * at.word[w]) / (theta + at.customers[u])
                 each = np.bincount(doc, np.repeat(np.log10(p / len(last)), times), len(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(each)], names=["key", "x"])
+                # a packed row for each share of the documents: rows follow the parts, not parts times documents
+                share = (keys.view(np.uint64) % np.uint64(shares)).astype(np.int64)
+                order = np.argsort(share, kind="stable")
+                cuts = np.flatnonzero(np.diff(share[order])) + 1
+                packed = [(int(share[i[0]]), keys[i].tobytes(), each[i].tobytes()) for i in np.split(order, cuts) if len(i)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in packed], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["share", "keys", "sums"])
+
+    def add_up(share, table):
+        import pyarrow as pa
+
+        keys = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("keys").to_pylist()])
+        sums = np.concatenate([np.frombuffer(x, np.float64) for x in table.column("sums").to_pylist()])
+        unique, at = np.unique(keys, return_inverse=True)
+        return pa.table({"key": unique, "pairs": np.bincount(at, sums, len(unique))})
 
-    seated = pairs.mapInArrow(score_part, "key long, x double").groupBy("key").agg(F.sum("x").alias("pairs"))
+    seated = pairs.mapInArrow(score_part, "share long, keys binary, sums binary").groupBy("share").applyInArrow(add_up, "key long, pairs double")
     # rare words: their own count, if any, for the base and for their share of the rare dish
     shares, bases = float(np.log10(rare_n + rare_v + 1)), float(np.log10(n + v + 1))
     # most frequent words have been told apart already
