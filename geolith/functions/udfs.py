@@ -159,6 +159,12 @@ def cut_polygon(g, paths, scale: float = 10.0) -> Column:
     return _cut_polygon(g, paths, F.lit(float(scale)))
 
 
+def spread(df):
+    """The rows over all cores: kernels cost far more a row than its bytes tell adaptive execution, which would put a small table in one task."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def union_all(df, keys: list[str], geom: str = "geom", fan: int = 64):
     """Union of each group: geometries are united in sub-groups by a hash first, so that no task holds a whole large group; repeated
     until a group is one geometry. -> keys, geom."""
@@ -176,6 +182,7 @@ def union_all(df, keys: list[str], geom: str = "geom", fan: int = 64):
 
     rows = df.select(*names)
     size = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    rows = spread(rows)
     while size > fan:
         groups = -(-size // fan)
         salted = rows.withColumn("_salt", F.pmod(F.xxhash64(geom), F.lit(groups)))

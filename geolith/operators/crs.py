@@ -8,10 +8,13 @@ from __future__ import annotations
 import math
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from ..functions import columns as C
+from ..functions.types import GEOM
 
 WGS84, AIRY = (6378137.0, 1 / 298.257223563), (6377563.396, 1 / 299.3249646)
 #: OSGB36 to WGS84: metres, arc seconds, parts per million (EPSG 1314).
@@ -48,8 +51,8 @@ def srid_of(value) -> int:
     return int(str(value).rpartition(":")[2])
 
 
-class _Columns:
-    sin, cos, tan, atan, atan2, sqrt, asinh, sinh, cosh, atanh, exp, log = F.sin, F.cos, F.tan, F.atan, F.atan2, F.sqrt, F.asinh, F.sinh, F.cosh, F.atanh, F.exp, F.log
+class _Arrays:
+    sin, cos, tan, atan, atan2, sqrt, asinh, sinh, cosh, atanh, exp, log = np.sin, np.cos, np.tan, np.arctan, np.arctan2, np.sqrt, np.arcsinh, np.sinh, np.cosh, np.arctanh, np.exp, np.log
 
 
 def _series(f: float):
@@ -134,7 +137,7 @@ def _datum(m, lon, lat, ell_from, ell_to, shift, back: bool):
 
 
 def transform_xy(m, x, y, source: int, target: int):
-    """x, y in another system; m: `math` for numbers, columns by default elsewhere. Unknown systems raise."""
+    """x, y in another system; m: `math` for numbers, `_Arrays` for whole arrays. Unknown systems raise."""
     a, b = lookup(source), lookup(target)
     for s, d in ((source, a), (target, b)):
         if d is None:
@@ -159,10 +162,41 @@ def transform_xy(m, x, y, source: int, target: int):
 
 
 def reproject(g, source: int, target: int) -> Column:
-    """Each coordinate in the target system, SRID set; the input stays as it is. For one geometry, or for points in bulk, see `reproject_udf`."""
-    fx = lambda x, y: transform_xy(_Columns, x, y, source, target)[0]
-    fy = lambda x, y: transform_xy(_Columns, x, y, source, target)[1]
-    return C.with_srid(C.map_coordinates(g, fx, fy), target)
+    """Each coordinate in the target system, SRID set; the input stays as it is.
+
+    An Arrow function over the flat coordinate buffers of a whole batch: the series use each intermediate several times, which
+    as nested column expressions would be worked out anew at every use.
+    """
+    for s in (source, target):
+        if lookup(s) is None:
+            raise ValueError(f"unknown coordinate system: {s}")
+
+    def run(geoms: pa.Array) -> pa.Array:
+        return _with_coordinates(geoms, lambda x, y: transform_xy(_Arrays, x, y, source, target), target)
+
+    return arrow_udf(run, GEOM)(F.col(g) if isinstance(g, str) else g)
+
+
+def _with_coordinates(geoms, f, srid: int):
+    """The geometries with f(x, y) for their coordinates; offsets and nulls stay as they are."""
+    geoms = pa.concat_arrays([geoms])  # offsets from zero
+    parts = geoms.field("parts")
+    part = parts.values
+    rings = part.field("rings")
+    ring = rings.values
+    x, y = (ring.values.field(n).to_numpy(zero_copy_only=False) for n in "xy")
+    with np.errstate(all="ignore"):
+        x, y = f(x, y)
+    kind = ring.type.value_type
+    coords = pa.StructArray.from_arrays([pa.array(x, pa.float64()), pa.array(y, pa.float64())], fields=[kind.field(k) for k in range(kind.num_fields)])
+    ring = pa.ListArray.from_arrays(ring.offsets, coords, type=ring.type)
+    rings = pa.ListArray.from_arrays(rings.offsets, ring, type=rings.type)
+    names = [part.type.field(k) for k in range(part.type.num_fields)]
+    part = pa.StructArray.from_arrays([rings if n.name == "rings" else part.field(n.name) for n in names], fields=names)
+    parts = pa.ListArray.from_arrays(parts.offsets, part, type=parts.type)
+    names = [geoms.type.field(k) for k in range(geoms.type.num_fields)]
+    whole = {"kind": geoms.field("kind"), "parts": parts, "srid": pa.array(np.full(len(geoms), srid), pa.int32())}
+    return pa.StructArray.from_arrays([whole[n.name] for n in names], fields=names, mask=geoms.is_null())
 
 
 def reproject_geometry(g, source: int, target: int):

@@ -131,12 +131,13 @@ def _by_envelope(predicate: str, a: Column, b: Column, ea: Column, eb: Column) -
 
 def centroid_join(left: DataFrame, right: DataFrame, lgeom: str = "geom", rgeom: str = "geom") -> DataFrame:
     """Left rows with the right rows whose envelope meets theirs and whose centroid they intersect."""
-    pairs = envelope_pairs(left, right, lgeom, rgeom).withColumn("_c", C.centroid(f"rrow.`{rgeom}`"))
-    a, c = F.col(f"lrow.`{lgeom}`"), F.col("_c")
-    ea, p = F.col("lenv"), C.first_coordinate("_c")
+    # the centre once a row, by the kernel, and not once a pair
+    pairs = envelope_pairs(left, right.withColumn("_centre", U.centroid(rgeom)), lgeom, rgeom)
+    a, c = F.col(f"lrow.`{lgeom}`"), F.col("rrow._centre")
+    ea, p = F.col("lenv"), F.col("rrow._centre.parts")[0]["rings"][0][0]
     inside = (ea["xmin"] <= p["x"]) & (p["x"] <= ea["xmax"]) & (ea["ymin"] <= p["y"]) & (p["y"] <= ea["ymax"])
     pairs = pairs.where(inside).withColumn("_box", is_box(a, ea))
-    general = pairs.where(~F.col("_box")).withColumn("_c", U.centroid(F.col(f"rrow.`{rgeom}`"))).where(U.intersects(a, c))
+    general = pairs.where(~F.col("_box")).where(U.intersects(a, c))
     return _flat(pairs.where("_box").drop("_box").unionByName(general.drop("_box")), left, right)
 
 

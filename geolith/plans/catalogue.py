@@ -230,7 +230,7 @@ def _meeting(spark, sf):
 
 def _overlay(kernel):
     def run(spark, sf):
-        made = _meeting(spark, sf).withColumn("g", kernel("geom", "geom_right"))
+        made = U.spread(_meeting(spark, sf)).withColumn("g", kernel("geom", "geom_right"))
         return made.select(F.col("k").alias("a"), F.col("k_right").alias("b"), r6(C.area("g"), "area"))
 
     return run
@@ -298,21 +298,21 @@ def gpkg_blob(spark, sf):
 
 @query("select k, round((x1-x0+20)*(y1-y0+20), 6) as grown, round(greatest(x1-x0-2, 0)*greatest(y1-y0-2, 0), 6) as shrunk from part_box")
 def mitre_buffer(spark, sf):
-    df = boxes(spark, sf).withColumn("g", U.buffer("geom", 10.0, join="mitre")).withColumn("s", U.buffer("geom", -1.0, join="mitre"))
+    df = U.spread(boxes(spark, sf)).withColumn("g", U.buffer("geom", 10.0, join="mitre")).withColumn("s", U.buffer("geom", -1.0, join="mitre"))
     return df.select("k", r6(C.area("g"), "grown"), r6(C.area("s"), "shrunk"))
 
 
 @query("select user_id, 1 as ok from vertex group by user_id having count(*) >= 3")
 def track_hulls(spark, sf):
     """Hulls, circles and inner points hold what they should."""
-    df = tracks(spark, sf).where(F.size(C.coordinates("geom")) >= 3).withColumn("h", U.convex_hull("geom")).withColumn("p", U.interior_point("h")).withColumn("c", U.bounding_circle("geom"))
+    df = U.spread(tracks(spark, sf).where(F.size(C.coordinates("geom")) >= 3)).withColumn("h", U.convex_hull("geom")).withColumn("p", U.interior_point("h")).withColumn("c", U.bounding_circle("geom"))
     df = df.withColumn("holds", U.covers("h", "geom")).withColumn("inside", U.intersects("h", "p"))
     return df.where(F.col("holds") & F.col("inside") & (F.col("c.r") > 0)).select("user_id", F.lit(1).alias("ok"))
 
 
 @query("select k, 'FF2F11212' as matrix, true as valid from part_box where false union all select k, '2FFF1FFF2', true from part_box")
 def relate_self(spark, sf):
-    return boxes(spark, sf).withColumn("matrix", U.relate("geom", "geom")).withColumn("valid", U.is_valid("geom")).select("k", "matrix", "valid")
+    return U.spread(boxes(spark, sf)).withColumn("matrix", U.relate("geom", "geom")).withColumn("valid", U.is_valid("geom")).select("k", "matrix", "valid")
 
 
 @query("select k, 2 as pieces, round(sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0)), 6) as length from part_box")
@@ -328,7 +328,7 @@ def cut_diagonal(spark, sf):
 def cut_box(spark, sf):
     """Each box cut by its diagonal."""
     c = C.coordinate
-    df = boxes(spark, sf).withColumn("d", C.line_string(F.array(c("x0", "y0"), c("x1", "y1")))).withColumn("parts", U.cut_polygon("geom", "d"))
+    df = U.spread(boxes(spark, sf)).withColumn("d", C.line_string(F.array(c("x0", "y0"), c("x1", "y1")))).withColumn("parts", U.cut_polygon("geom", "d"))
     return df.select("k", F.size("parts").alias("n"), r6(F.aggregate("parts", F.lit(0.0), lambda s, p: s + C.area(p)), "area"))
 
 
@@ -368,14 +368,19 @@ def amend_duplicates(spark, sf):
 # ---- networks, reference systems ---------------------------------------------------------------------------------------
 
 
-@query("select count(*) as n_edges, 0 as bad from part_box where false having count(*) > 0")
-def node_boxes_invariant(spark, sf):
-    """Edges of noded box rims that still cross another edge inside: none."""
-    rims = boxes(spark, sf).where("k <= 200").select("k", "geom")
-    edges = network.node(rims.select(F.col("k").alias("line_id"), U.boundary("geom").alias("geom")), "line_id", scale=1.0)
-    a = edges.select(F.monotonically_increasing_id().alias("e"), "geom")
-    met = joins.spatial_join(a, a, "intersects").where("e < e_right").withColumn("m", U.relate("geom", "geom_right")).where(F.col("m").rlike("^[01]"))
-    return met.groupBy().agg(F.count("*").alias("n_edges"), F.lit(0).alias("bad")).where("n_edges > 0")
+@query(""", h as (select k, y0 as c, x0 as lo, x1 as hi from part_box union all select k, y1, x0, x1 from part_box), v as (select k, x0 as c, y0 as lo, y1 as hi from part_box union all select k, x1, y0, y1 from part_box),
+ ends as (select 0 as flat, c, lo as p from v union all select 0, c, hi from v union all select 1, c, lo from h union all select 1, c, hi from h),
+ met as (select v.c as x, h.c as y from v join h on h.c between v.lo and v.hi and v.c between h.lo and h.hi),
+ cuts as (select * from ends union select 0, x, y from met union select 1, y, x from met),
+ steps as (select s.flat, s.c, s.k, s.lo, q.p, lead(q.p) over (partition by s.flat, s.c, s.k, s.lo order by q.p) as nx
+  from (select 0 as flat, k, c, lo, hi from v union all select 1, k, c, lo, hi from h) s join cuts q on q.flat = s.flat and q.c = s.c and q.p between s.lo and s.hi),
+ e as (select distinct flat, c, p, nx from steps where nx is not null)
+ select count(*) as n_edges, round(sum(nx - p), 6) as length from e""")
+def node_boxes(spark, sf):
+    """The rims of all boxes, noded and dissolved. Along a line of the lattice, edges between neighbouring nodes."""
+    rims = boxes(spark, sf).select(F.col("k").alias("line_id"), C.line_string(F.col("geom.parts")[0]["rings"][0]).alias("geom"))
+    edges = network.node(rims, "line_id", scale=1.0)
+    return edges.agg(F.count("*").alias("n_edges"), r6(F.sum(C.length("geom")), "length"))
 
 
 @query()
