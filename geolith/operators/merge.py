@@ -10,13 +10,14 @@ Null keys never match: such updates are unmatched. Update rows that share an unk
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 METHODS, EXISTING = ("update-set", "left-join", "outer-join", "right-join"), ("set-null", "preserve", "drop-column")
 
 
-def amend(target: DataFrame, updates: DataFrame, key: str, method: str = "update-set", if_exists: str = "set-null") -> DataFrame:
+def amend(target: DataFrame, updates: DataFrame, key: str, method: str = "update-set", if_exists: str = "set-null", mark: str | None = None) -> DataFrame:
+    """mark: name of a column to add, true for rows that come from the target."""
     if method not in METHODS or if_exists not in EXISTING:
         raise ValueError(f"no such method or policy: {method}, {if_exists}")
     if method == "update-set":
@@ -39,9 +40,14 @@ def amend(target: DataFrame, updates: DataFrame, key: str, method: str = "update
 
     olds = [c for c in target.columns if not (if_exists == "drop-column" and c in overlap)]
     added = [c for c in new if c not in olds]
-    return both.select(*(value(c) for c in olds), *(F.when(F.col("_hit"), F.col(f"`_new_{c}`")).alias(c) for c in added))
+    return both.select(*(value(c) for c in olds), *(F.when(F.col("_hit"), F.col(f"`_new_{c}`")).alias(c) for c in added), *([F.coalesce("_old", F.lit(False)).alias(mark)] if mark else []))
 
 
 def duplicate_keys(updates: DataFrame, key: str) -> DataFrame:
     """Keys of more than one update, with their number; null keys are never marked."""
     return updates.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def by_key(key: str):
+    """Window over the rows of a key."""
+    return Window.partitionBy(key)
