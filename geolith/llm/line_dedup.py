@@ -8,8 +8,8 @@ compiled code, and a banded bit-parallel automaton (one small word of vertical d
 distance of the rest. Links join into classes by distributed components; of each class, copies
 included, the first line by (doc_id, place) stays.
 
-Skew: copies of a line are one row after the first combine; a segment shared by many different lines is a skewed join
-key, which adaptive execution splits; nothing is gathered by key.
+Skew: copies of a line are one row after the first combine; a segment shared by many different lines is compared
+chunk by chunk, and only links leave a pair of chunks (see candidates); a chunk is bounded, whatever the key.
 
 Defined results: null text is empty and has one empty line; lines shorter than `least` are always kept and never linked; a
 line may repeat within its document; documents that share an id are judged as one, place by place; a null id sorts first.
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import components, cut, lower_ascii
 
 EDITS, LEAST = 2, 20
+#: The lines of a key with more than HOT filed ones are compared in chunks of about CHUNK.
+HOT, CHUNK = 16, 64
 #: Line numbers up to this many are sent to every executor (8 bytes each), beyond it joined by shuffle.
 BROADCAST_LINES = 2_000_000
 
@@ -37,7 +39,7 @@ def normal(line: Column) -> Column:
 
 
 def _keys(lines: DataFrame, places: list[tuple[int, int, int]], edits: int) -> DataFrame:
-    """line_id, key: for each (shorter, i, move) the hash of the substring that segment i of a line shorter by so much would cover,
+    """line_id, line, key: for each (shorter, i, move) the hash of the substring that segment i of a line shorter by so much would cover,
     moved by so much, with that length and i; none where it lies outside the line.
 
     The places are rows, not expressions side by side, so that the compiled code stays small enough for the JVM to compile.
@@ -51,7 +53,7 @@ def _keys(lines: DataFrame, places: list[tuple[int, int, int]], edits: int) -> D
     rows = rows.withColumn("at", F.col("i") * F.col("base") + F.greatest(F.lit(0), F.col("i") - k + extra) + F.col("move"))
     rows = rows.withColumn("long", F.col("base") + (F.col("i") >= k - extra).cast("int"))
     rows = rows.where((F.col("at") >= 0) & (F.col("at") + F.col("long") <= F.col("size")))
-    return rows.select("line_id", F.xxhash64(F.substring("line", F.col("at") + 1, F.col("long")), "other", "i").alias("key"))
+    return rows.select("line_id", "line", F.xxhash64(F.substring("line", F.col("at") + 1, F.col("long")), "other", "i").alias("key"))
 
 
 def filed(lines: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -66,6 +68,36 @@ def probes(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     return _keys(lines, places, edits)
 
 
+def candidates(lines: DataFrame, edits: int = EDITS, most: int = HOT, chunk: int = CHUNK) -> DataFrame:
+    """Pairs a < b (line_id) of lines that share a key; every pair within the edits is among them. Pairs may repeat.
+
+    A key under which more than `most` lines are filed pairs none of them in the join. Its lines are held in chunks instead, and
+    each chunk of filed lines is compared with each chunk of probing ones inside one row: only pairs within the edits leave it.
+    """
+    own, looked = filed(lines, edits).select("line_id", "key"), probes(lines, edits).select("line_id", "key")
+    hot = cut(own.groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / chunk).cast("int").alias("parts")), "line-hot")
+    n = hot.count()
+    mark = F.broadcast(hot) if n <= BROADCAST_LINES else hot
+    cold = own.join(mark, "key", "left_anti") if n else own
+    a, b = F.col("line_id"), F.col("other_id")
+    met = cold.join(looked.withColumnRenamed("line_id", "other_id"), "key").where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    if not n:
+        return met
+    place = lambda rows: rows.select("line_id", "line", "key", F.pmod(F.xxhash64("line_id"), F.col("parts")).alias("part"))
+    held = lambda rows, name: rows.groupBy("key", "part").agg(F.collect_set(F.struct("line_id", "line")).alias(name)).drop("part")
+    whole = lambda keys: keys.select("line_id", "key", "line")
+    few = held(place(whole(filed(lines, edits)).join(mark, "key")), "own").repartition("key")
+    many = held(place(whole(probes(lines, edits)).join(mark, "key")), "others")
+    near = F.flatten(
+        F.transform("own", lambda x: F.transform(
+            F.filter("others", lambda y: (x["line_id"] != y["line_id"]) & (F.levenshtein(x["line"], y["line"], edits) >= 0)),
+            lambda y: F.struct(F.least(x["line_id"], y["line_id"]).alias("a"), F.greatest(x["line_id"], y["line_id"]).alias("b")),
+        ))
+    )
+    within = few.join(many, "key").select(F.explode(near).alias("p")).select("p.a", "p.b")
+    return met.union(within)
+
+
 def bit_parallel_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
     """Edit distance of two strings if at most `edits`, else edits + 1; a must not be longer than b by more than that, nor shorter.
 
@@ -118,9 +150,7 @@ def unique_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 def link(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """lines: line_id, line, size -> pairs a < b (line_id) with their distance, 1 to edits. A cut table."""
-    own, looked = filed(lines, edits), probes(lines, edits).withColumnRenamed("line_id", "other_id")
-    pairs = own.join(looked, "key").where("line_id <> other_id").select(F.least("line_id", "other_id").alias("a"), F.greatest("line_id", "other_id").alias("b")).distinct()
-    pairs = cut(pairs, "line-pairs")
+    pairs = cut(candidates(lines, edits).distinct(), "line-pairs")
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct(), "line-ids")
     few = ids.count() <= BROADCAST_LINES
     named = cut(lines.select("line_id", "line").join(F.broadcast(ids) if few else ids, "line_id", "left_semi"), "line-texts")
