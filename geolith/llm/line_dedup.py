@@ -39,7 +39,7 @@ def normal(line: Column) -> Column:
 
 
 def _keys(lines: DataFrame, places: list[tuple[int, int, int]], edits: int) -> DataFrame:
-    """line_id, line, key: for each (shorter, i, move) the hash of the substring that segment i of a line shorter by so much would cover,
+    """line_id, line, key, other (that length): for each (shorter, i, move) the hash of the substring that segment i of a line shorter by so much would cover,
     moved by so much, with that length and i; none where it lies outside the line.
 
     The places are rows, not expressions side by side, so that the compiled code stays small enough for the JVM to compile.
@@ -53,7 +53,7 @@ def _keys(lines: DataFrame, places: list[tuple[int, int, int]], edits: int) -> D
     rows = rows.withColumn("at", F.col("i") * F.col("base") + F.greatest(F.lit(0), F.col("i") - k + extra) + F.col("move"))
     rows = rows.withColumn("long", F.col("base") + (F.col("i") >= k - extra).cast("int"))
     rows = rows.where((F.col("at") >= 0) & (F.col("at") + F.col("long") <= F.col("size")))
-    return rows.select("line_id", "line", F.xxhash64(F.substring("line", F.col("at") + 1, F.col("long")), "other", "i").alias("key"))
+    return rows.select("line_id", "line", F.xxhash64(F.substring("line", F.col("at") + 1, F.col("long")), "other", "i").alias("key"), "other")
 
 
 def filed(lines: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -74,27 +74,31 @@ def candidates(lines: DataFrame, edits: int = EDITS, most: int = HOT, chunk: int
     A key under which more than `most` lines are filed pairs none of them in the join. Its lines are held in chunks instead, and
     each chunk of filed lines is compared with each chunk of probing ones inside one row: only pairs within the edits leave it.
     """
-    own, looked = filed(lines, edits).select("line_id", "key"), probes(lines, edits).select("line_id", "key")
-    hot = cut(own.groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / chunk).cast("int").alias("parts")), "line-hot")
+    own, looked = filed(lines, edits).select("line_id", "key", "other"), probes(lines, edits).select("line_id", "key")
+    hot = cut(own.groupBy("key", "other").count().where(F.col("count") > most).select("key", "other", F.ceil(F.col("count") / chunk).cast("int").alias("parts")), "line-hot")
     n = hot.count()
-    mark = F.broadcast(hot) if n <= BROADCAST_LINES else hot
-    cold = own.join(mark, "key", "left_anti") if n else own
+    small = lambda df: F.broadcast(df) if n <= BROADCAST_LINES else df
+    named = ["key", "other"]
+    cold = own.join(small(hot), named, "left_anti") if n else own
     a, b = F.col("line_id"), F.col("other_id")
     met = cold.join(looked.withColumnRenamed("line_id", "other_id"), "key").where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
     if not n:
         return met
-    place = lambda rows: rows.select("line_id", "line", "key", F.pmod(F.xxhash64("line_id"), F.col("parts")).alias("part"))
-    held = lambda rows, name: rows.groupBy("key", "part").agg(F.collect_set(F.struct("line_id", "line")).alias(name)).drop("part")
-    whole = lambda keys: keys.select("line_id", "key", "line")
-    few = held(place(whole(filed(lines, edits)).join(mark, "key")), "own").repartition("key")
-    many = held(place(whole(probes(lines, edits)).join(mark, "key")), "others")
+    # only lines as long as those of hot keys, or a little longer, can be in them
+    sizes = hot.select(F.explode(F.sequence(F.col("other"), F.col("other") + edits)).alias("size")).distinct()
+    long = lines.join(small(sizes), "size", "left_semi")
+    placed = lambda rows: rows.join(small(hot), named).withColumn("part", F.pmod(F.xxhash64("line_id"), F.col("parts")))
+    held = lambda rows, name: rows.groupBy(*named, "part", "parts").agg(F.collect_set(F.struct("line_id", "line")).alias(name))
+    # each chunk of filed lines goes to every chunk of probing ones, so that a key is spread over its chunks
+    few = held(placed(filed(long, edits)), "own").select(*named, "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - F.lit(1).cast("long"))).alias("part"))
+    many = held(placed(probes(long, edits)), "others").drop("parts")
     near = F.flatten(
         F.transform("own", lambda x: F.transform(
             F.filter("others", lambda y: (x["line_id"] != y["line_id"]) & (F.levenshtein(x["line"], y["line"], edits) >= 0)),
             lambda y: F.struct(F.least(x["line_id"], y["line_id"]).alias("a"), F.greatest(x["line_id"], y["line_id"]).alias("b")),
         ))
     )
-    within = few.join(many, "key").select(F.explode(near).alias("p")).select("p.a", "p.b")
+    within = few.join(many, [*named, "part"]).select(F.explode(near).alias("p")).select("p.a", "p.b")
     return met.union(within)
 
 
