@@ -1,9 +1,9 @@
 """Scoring by a hierarchical Pitman-Yor language model.
 
 Every context word is a restaurant whose customers are the words that follow it; all these restaurants share one parent,
-whose customers are their tables, and whose own base is uniform. Who sits where is sampled by Gibbs: a customer leaves its
-table and chooses again among the tables of its dish (size less the discount) and a new one (strength plus discount times tables, times
-the parent's probability). Predictive probabilities are averaged over the last sweeps, and give scores and perplexities.
+whose customers are their tables, and whose own base is uniform. Seating is sampled by blocked Gibbs: in a sweep all customers of
+every (context, word) pair leave and sit down again, as the number of their tables is drawn exactly given their count, the parent's
+probability and the tables of the other words. Predictive probabilities are averaged over the last sweeps, and give scores and perplexities.
 
 Words: the most frequent training words (at most `vocabulary`) are dishes of their own; the others share one dish, and take their
 add-one share of it by their own count. All words are counted, over all training documents, and all pairs take seats, so
@@ -21,8 +21,10 @@ of the empty string; without training documents the counts are zero and the base
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,69 +33,136 @@ from pyspark.sql import functions as F
 from .common import cut, slices, texts
 
 END, RARE = b"", 0
-VOCABULARY, PART_TOKENS, SWEEPS, KEPT, MOVES, SEED = 65_535, 3_000_000, 3, 2, 2, 11
+VOCABULARY, PART_TOKENS, SWEEPS, KEPT, ROUNDS, SEED = 65_535, 3_000_000, 6, 4, 8, 11
+#: Up to so many customers a table count is drawn from its whole distribution, in blocks of so many numbers; beyond, by rejection.
+TABULATED, CELLS = 256, 1 << 18
+#: Tables, as a multiple of customers ^ discount, up to which the series of _shared is sound: for discounts of STEEP or less, and above.
+REACH, REACH_STEEP, STEEP = 1.5, 0.9, 0.85
+#: Greatest values of _shared by (customers, discount), as the sweeps ask for the same ones.
+BOUNDS: dict = {}
 
 
 # ---- seating -----------------------------------------------------------------------------------------------------------
 
 
-class Seating:
-    """Tables of many (restaurant, dish) pairs of two customers or more, as sizes in slots side by side."""
-
-    def __init__(self, counts: np.ndarray, base: np.ndarray, strength: np.ndarray, discount: float, rng: np.random.Generator):
-        """base: parent's probability of the dish; strength: theta + d * tables of the restaurant."""
-        self.c, self.d, self.rng = counts.astype(np.int64), discount, rng
-        w = strength * base
-        # customers come in blocks that double; in a block, so many open a table
-        t, j = np.ones(len(counts), np.int64), 1
-        while len(counts) and j < counts.max():
-            block = np.clip(self.c - j, 0, j)
-            t += rng.binomial(block, np.clip(w / (w + np.maximum(j - discount * t, 1e-9)), 0, 1))
-            t = np.minimum(t, self.c)
-            j *= 2
-        room = np.minimum(self.c, np.maximum(16, 4 * t))
-        self.end = np.cumsum(room)
-        self.start = self.end - room
-        at = np.arange(int(self.end[-1]) if len(room) else 0) - np.repeat(self.start, room)
-        many = np.repeat(t, room)
-        self.sizes = (at < many).astype(np.int64)
-        if len(room):
-            self.sizes[self.start] = self.c - t + 1
-        self.t = t
-
-    def move(self, base: np.ndarray, strength: np.ndarray) -> None:
-        """One customer of each pair leaves and sits down again."""
-        if not len(self.c):
-            return
-        n, rng, d = len(self.c), self.rng, self.d
-        sums = np.cumsum(self.sizes)
-        below = sums[self.start] - self.sizes[self.start]
-        k = np.searchsorted(sums, below + rng.integers(0, self.c), "right")
-        self.sizes[k] -= 1
-        self.t -= self.sizes[k] == 0
-        new = strength * base
-        old = (self.c - 1) - d * self.t
-        opens = rng.random(n) * (new + old) < new
-        weights = np.where(self.sizes > 0, self.sizes - d, 0.0)
-        sums = np.cumsum(weights)
-        below = sums[self.start] - weights[self.start]
-        last = sums[self.end - 1]
-        k = np.searchsorted(sums, below + rng.random(n) * (last - below), "right")
-        k = np.clip(k, self.start, self.end - 1)
-        k = np.where(self.sizes[k] > 0, k, -1)
-        empty = np.append(np.flatnonzero(self.sizes == 0), len(self.sizes))
-        free = empty[np.searchsorted(empty, self.start)]
-        opens &= free < self.end
-        # rounding may point at an empty slot: the first table of the dish then
-        lost = np.flatnonzero((k < 0) & ~opens)
-        for i in lost.tolist():
-            taken = np.flatnonzero(self.sizes[self.start[i] : self.end[i]])
-            if len(taken):
-                k[i] = self.start[i] + taken[0]
-            else:
-                opens[i] = True
-        self.sizes[np.where(opens, free, k)] += 1
-        self.t += opens
+@lru_cache(maxsize=4)
+def log_stirling(most: int, discount: float) -> np.ndarray:
+    """log of the number of weighted seatings (sizes less discount, rising) of c customers at t tables, at [c, t]."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[1, 1] = 0.0
+    t = np.arange(1, most + 1)
+    for c in range(1, most):
+        stay = np.where(t <= c, np.log(np.maximum(c - discount * t, 1e-300)), -np.inf)
+        out[c + 1, 1:] = np.logaddexp(out[c, :-1], out[c, 1:] + stay)
+    return out
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Stirling's series after eight steps up; x > 0."""
+    y, steps = x + 8, np.ones_like(x)
+    for k in range(8):
+        steps = steps * (x + k)
+    z = 1 / (y * y)
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y - np.log(steps)
+
+
+def _crowded(c: np.ndarray, a: np.ndarray, base: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Table counts of pairs with many customers, by rejection from restaurants of one dish and strength d * b.
+
+    In those the wait for the next new table is beta-geometric, so a draw takes a step a table, whatever the customers. The weights of
+    target and proposal differ by a factor whose ratio from t to t + 1, base * (a + t) / (b + t), falls with t: its peak bounds it, and b only
+    sets how often a draw is taken.
+    """
+    one = np.maximum(1 - base, 1e-12)
+    low, high = np.full(len(c), -1 + 1e-9), a.copy()
+    for _ in range(40):
+        b = (low + high) / 2
+        s = d * b
+        mean = np.exp(_log_gamma(s + 1) - _log_gamma(s + d) + _log_gamma(s + d + c) - _log_gamma(s + c)) / d - b
+        under = mean < (base * a - b) / one
+        low, high = np.where(under, b, low), np.where(under, high, b)
+    b = (low + high) / 2
+    factor = lambda i, t: t * np.log(base[i]) + _log_gamma(a[i] + t) - _log_gamma(b[i] + t)
+    every = np.arange(len(c))
+    bound = factor(every, np.clip(np.floor((base * a - b) / one) + 1, 1, c))
+    out, left = np.ones(len(c), np.int64), every
+    while len(left):
+        n, t, going = np.ones(len(left)), np.ones(len(left)), np.arange(len(left))
+        while len(going):
+            p = rng.beta(d * (b[left[going]] + t[going]), n[going] - d * t[going])
+            wait = np.ceil(np.log1p(-rng.random(len(going))) / np.log1p(-np.clip(p, 1e-300, 1 - 1e-16)))
+            n[going] += np.maximum(1, wait)
+            going = going[n[going] <= c[left[going]]]
+            t[going] += 1
+        taken = np.log1p(-rng.random(len(left))) <= factor(left, t) - bound[left]
+        out[left[taken]] = t[taken].astype(np.int64)
+        left = left[~taken]
+    return out
+
+
+def _shared(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """The probability that t table sizes add up to c, over t times that of one table of c (sizes: 1 - (1 - z)^d).
+
+    The series is that of (1 - (1 - z)^d)^t, by powers of (1 - z)^d; it is sound while t is not far over c^d.
+    """
+    first, term, total = _log_gamma(c - d), np.ones_like(t), np.ones_like(t)
+    for k in range(1, 60):
+        # C(t, k + 1) / t, and the coefficient of (1 - z)^(d (k + 1)) over that of (1 - z)^d
+        term = term * (t - k) / (k + 1)
+        x = -d * (k + 1)
+        scale = 0.0 if abs(x - round(x)) < 1e-9 else math.gamma(-d) / math.gamma(x)
+        more = (-1) ** k * scale * term * np.exp(_log_gamma(c + x) - first)
+        total = total + more
+        if np.all(np.abs(more) < 1e-13 * np.abs(total)) and scale:
+            break
+    return np.maximum(total, 0)
+
+
+def _roomy(c: np.ndarray, a: np.ndarray, base: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Table counts of pairs with far fewer tables than customers, by rejection from a negative binomial."""
+    reach = REACH if d <= STEEP else REACH_STEEP
+    sizes, at = np.unique(c, return_inverse=True)
+    if len(BOUNDS) > 200_000:
+        BOUNDS.clear()
+    new = np.array([x for x in sizes.tolist() if (x, d) not in BOUNDS])
+    if len(new):
+        grid = 1 + np.linspace(0, reach, 64) * new[:, None] ** d
+        most = 1.01 * _shared(np.repeat(new, 64), grid.ravel(), d).reshape(-1, 64).max(axis=1)
+        BOUNDS.update(((x, d), y) for x, y in zip(new.tolist(), most.tolist(), strict=True))
+    bound = np.array([BOUNDS[x, d] for x in sizes.tolist()])[at]
+    out, left = np.ones(len(c), np.int64), np.arange(len(c))
+    while len(left):
+        t = 1.0 + rng.negative_binomial(a[left] + 1, 1 - base[left])
+        fits = t <= 1 + reach * c[left] ** d
+        taken = np.zeros(len(left), bool)
+        taken[fits] = rng.random(int(fits.sum())) * bound[left[fits]] < _shared(c[left[fits]], t[fits], d)
+        out[left[taken]] = t[taken].astype(np.int64)
+        left = left[~taken]
+    return out
+
+
+def seat(c: np.ndarray, base: np.ndarray, rest: np.ndarray, theta: float, d: float, rng: np.random.Generator) -> np.ndarray:
+    """All customers of each pair leave and sit down again: its table count, drawn afresh given its customers.
+
+    c: customers, one or more; base: parent's probability of the dish; rest: tables of the other dishes of the restaurant. t has the weight
+    S(c, t) * base^t * (theta + d rest) (theta + d (rest + 1)) ... (t factors), S the generalised Stirling numbers.
+    """
+    c, a, t = c.astype(np.int64), theta / d + rest, np.ones(len(c), np.int64)
+    for size in np.unique(c[(c > 1) & (c <= TABULATED)]).tolist():
+        own, k = np.flatnonzero(c == size), np.arange(size)
+        known = log_stirling(TABULATED, d)[size, 1 : size + 1]
+        for i in np.split(own, range(CELLS // size, len(own), CELLS // size)):
+            x = known + np.cumsum(np.log((a[i, None] + k) * (d * base[i, None])), axis=1)
+            x = np.cumsum(np.exp(x - x.max(axis=1, keepdims=True)), axis=1)
+            t[i] = 1 + (x[:, :-1] <= rng.random((len(i), 1)) * x[:, -1:]).sum(axis=1)
+    many = np.flatnonzero(c > TABULATED)
+    if len(many):
+        far = 1 + (a[many] + 1) * base[many] / np.maximum(1 - base[many], 1e-12)
+        few = far + 8 * np.sqrt(far / np.maximum(1 - base[many], 1e-12)) < (REACH if d <= STEEP else REACH_STEEP) * c[many] ** d
+        for own, draw in ((many[few], _roomy), (many[~few], _crowded)):
+            if len(own):
+                t[own] = draw(c[own].astype(float), a[own], base[own], d, rng)
+    return t
 
 
 @dataclass
@@ -121,17 +190,13 @@ def part_tables(part: int, pairs: np.ndarray, counts: np.ndarray, history: list,
     u, w = pairs >> 16, pairs & 0xFFFF
     many = np.flatnonzero(counts >= 2)
     tables = (counts > 0).astype(np.int64)
-    kept, seats = [], None
+    kept = []
     for k, at in enumerate(history):
-        base, strength = at.word[w[many]], theta + discount * at.tables[u[many]]
-        if seats is None:
-            seats = Seating(counts[many], base, strength, discount, np.random.default_rng((SEED, part)))
-        for _ in range(MOVES):
-            seats.move(base, strength)
+        # the recorded totals hold what this pair had in the last sweep
+        rest = np.maximum(at.tables[u[many]] - tables[many], 0)
+        tables[many] = seat(counts[many], at.word[w[many]], rest, theta, discount, np.random.default_rng((SEED, part, k)))
         if k >= len(history) - keep:
-            now = tables.copy()
-            now[many] = seats.t
-            kept.append(now)
+            kept.append(tables.copy())
     return kept
 
 
@@ -141,12 +206,8 @@ def parent(tables: np.ndarray, theta: float, rng: np.random.Generator, before: n
     d = float(np.clip(n1 / (n1 + 2 * n2), 0.05, 0.95)) if n1 + n2 else 0.5
     uniform = 1 / len(tables)
     t, many = (tables > 0).astype(np.int64), np.flatnonzero(tables >= 2)
-    strength = np.full(len(many), theta + d * max(1, np.count_nonzero(tables)))
-    seats = Seating(tables[many], np.full(len(many), uniform), strength, d, rng)
-    for _ in range(4 * MOVES):
-        seats.move(np.full(len(many), uniform), strength)
-        strength = np.full(len(many), theta + d * (t.sum() - len(many) + seats.t.sum()))
-    t[many] = seats.t
+    for _ in range(ROUNDS):
+        t[many] = seat(tables[many], np.full(len(many), uniform), t.sum() - t[many], theta, d, rng)
     return (np.maximum(tables - d * t, 0) + (theta + d * t.sum()) * uniform) / (theta + tables.sum())
 
 
