@@ -41,9 +41,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which windows of two benchmark items or more occur go."""
+    """Documents in which windows of two benchmark items or more occur go, and so do those that hold half or more of one item."""
     found = decontaminate.find_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _as_documents(found.where(~decontaminate.contaminated()))
+    return _as_documents(found.where(~(decontaminate.contaminated() | decontaminate.holds_item())))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -82,9 +82,9 @@ class Index:
             sieve[(prints >> np.uint64(48)).astype(np.int64)] = True
             self.by_length[size] = (np.unique(prints), sieve, full[order], pos[order])
 
-    def match(self, words: list[bytes]) -> tuple[np.ndarray, set[int]]:
-        """Mask of the hit words; numbers of the items of which a window occurs."""
-        n, items = len(words), set()
+    def match(self, words: list[bytes]) -> tuple[np.ndarray, set[int], float]:
+        """Mask of the hit words; numbers of the items of which a window occurs; the greatest share of an item (of a window or more) that occurs."""
+        n, items, places = len(words), set(), []
         hit = np.zeros(n + 1, np.int64)
         get = self.words.get
         ids = np.array([get(w, 0) for w in words], np.int32)
@@ -110,10 +110,18 @@ class Index:
                     same = (self.ids[pos[a:b, None] + np.arange(size)] == row).all(axis=1)
                     seen[key] = bool(same.any())
                     items.update((np.searchsorted(self.starts, pos[a:b][same], "right") - 1).tolist())
+                    if size == self.window:
+                        places.append(pos[a:b][same])
                 if seen[key]:
                     hit[s] += 1
                     hit[min(s + size, n)] -= 1
-        return np.cumsum(hit)[:n] > 0, items
+        extent = 0.0
+        if places:
+            # words of the items, each counted once
+            covered = np.unique(np.concatenate(places)[:, None] + np.arange(self.window))
+            item, many = np.unique(np.searchsorted(self.starts, covered, "right") - 1, return_counts=True)
+            extent = float((many / np.diff(np.append(self.starts, len(self.ids)))[item]).max())
+        return np.cumsum(hit)[:n] > 0, items, extent
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int):
@@ -126,11 +134,12 @@ def _blocks(benchmark: DataFrame, block_bytes: int):
         yield [(r.item_id, r.text.encode()) for r in block.collect()]
 
 
-ADDED = "n_words long, hits array<struct<start: int, end: int>>, items array<string>"
+ADDED = "n_words long, hits array<struct<start: int, end: int>>, items array<string>, extent double"
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = 8 << 20) -> DataFrame:
-    """docs with n_words, hits (word spans, disjoint and in order) and items (ids of the items found, sorted as strings)."""
+    """docs with n_words, hits (word spans, disjoint and in order) and items (ids of the items found, sorted as strings) and extent (the greatest
+    share of one item's words that is in it; items shorter than a window do not count)."""
     names = [f.name for f in T._parse_datatype_string(ADDED).fields]
     kept = T.StructType([f for f in docs.schema.fields if f.name not in names])
     out = T.StructType([*kept.fields, *T._parse_datatype_string(ADDED).fields])
@@ -144,11 +153,12 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
             index = held.value
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             for batch in slices(batches):
-                counts, hits, items = [], [], []
+                counts, hits, items, extents = [], [], [], []
+                before = [0.0] * batch.num_rows if first else batch.column(batch.schema.get_field_index("extent")).to_pylist()
                 at = None if first else batch.column(batch.schema.get_field_index("hits")).to_pylist(), None if first else batch.column(batch.schema.get_field_index("items")).to_pylist()
                 for k, text in enumerate(texts(batch)):
                     words = ALNUM_WORDS.findall(text.lower())
-                    mask, found = index.match(words)
+                    mask, found, extent = index.match(words)
                     found = {index.names[i] for i in found}
                     if not first:
                         for h in at[0][k]:
@@ -158,7 +168,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
                     counts.append(len(words))
                     hits.append([{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()])
                     items.append(sorted(found))
-                yield rest_of(batch, {"n_words": pa.array(counts, pa.int64()), "hits": pa.array(hits, kind), "items": pa.array(items, pa.list_(pa.string()))})
+                    extents.append(max(extent, before[k]))
+                yield rest_of(batch, {"n_words": pa.array(counts, pa.int64()), "hits": pa.array(hits, kind), "items": pa.array(items, pa.list_(pa.string())), "extent": pa.array(extents, pa.float64())})
 
         frame = (frame if first else cut(frame, "overlaps")).mapInArrow(scan, out)
         first = False
@@ -167,3 +178,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
 
 def contaminated(least_items: int = 2):
     return F.size("items") >= least_items
+
+
+def holds_item(least_extent: float = 0.5):
+    """Most of one item, or all of it, is in the document."""
+    return F.col("extent") >= least_extent
