@@ -31,7 +31,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier line, or one within two edits of it, go; every document stays."""
-    return _as_documents(line_dedup.dedup_lines(docs))
+    return _as_documents(line_dedup.dedup_lines(docs, shortest=1))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ included, the first line by (doc_id, place) stays.
 Skew: copies of a line are one row after the first combine; a segment shared by many different lines is compared
 chunk by chunk, and only links leave a pair of chunks (see candidates); a chunk is bounded, whatever the key.
 
-Defined results: null text is empty and has one empty line; lines shorter than `least` are always kept and never linked; a
-line may repeat within its document; documents that share an id are judged as one, place by place; a null id sorts first.
+Defined results: null text is empty and has one empty line; lines shorter than `least` are never linked to different ones, and exact
+repeats of them go down to `shortest` characters (1 in op10 and the pipeline: all lines but blank ones); a line may repeat within its document; documents that share an id are judged as one, place by place; a null id sorts first.
 An empty table: no rows. Extra columns pass through.
 """
 
@@ -163,18 +163,21 @@ def link(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     return cut(likely.withColumn("distance", bit_parallel_distance(F.col("x"), F.col("y"), edits)).where(F.col("distance") <= edits).select("a", "b", "distance"), "line-links")
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, shortest: int | None = None) -> DataFrame:
     """docs (doc_id, text, ...) with text without its repeated lines, and n_lines, n_dropped, n_links (links of its lines to
-    different lines), first_docs (ids of the documents where the first of the dropped lines are, sorted)."""
-    lines = unique_lines(docs, least)
-    links = link(lines, edits)
+    different lines), first_docs (ids of the documents where the first of the dropped lines are, sorted).
+
+    Lines of `least` characters or more are compared with others, those of `shortest` (if not given: least) or more go if they repeat."""
+    shortest = least if shortest is None else max(1, shortest)
+    lines = unique_lines(docs, shortest)
+    links = link(lines.where(F.col("size") >= least) if shortest < least else lines, edits)
     joined = components(links.select("a", "b"), "lines")
     degree = links.select(F.explode(F.array("a", "b")).alias("line_id")).groupBy("line_id").agg(F.count("*").alias("links"))
     # only lines that repeat or link matter from here on
     classes = lines.join(joined.withColumnRenamed("node", "line_id"), "line_id", "left").where("copies > 1 or component is not null").withColumn("class", F.coalesce("component", "line_id"))
     heads = classes.groupBy("class").agg(F.min("first").alias("head"))
     known = cut(classes.join(heads, "class").join(degree, "line_id", "left").select(F.md5("line").alias("sign"), "head", F.coalesce("links", F.lit(0)).alias("links")), "line-classes")
-    rows = docs.select("doc_id", F.posexplode(F.transform(split_lines(F.col("text")), normal)).alias("place", "line")).where(F.length("line") >= least)
+    rows = docs.select("doc_id", F.posexplode(F.transform(split_lines(F.col("text")), normal)).alias("place", "line")).where(F.length("line") >= shortest)
     marked = rows.select("doc_id", "place", F.md5("line").alias("sign")).join(known, "sign")
     repeat = ~F.struct("doc_id", "place").eqNullSafe(F.col("head"))
     per = marked.groupBy("doc_id").agg(

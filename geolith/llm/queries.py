@@ -117,7 +117,7 @@ def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    found = line_dedup.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), shortest=1)
     return found.select("doc_id", "n_lines", "n_dropped", "n_links", "first_docs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
