@@ -6,14 +6,18 @@ segments under (length, number, hash); it looks up, for its own and each shorter
 place fits both sides of the alignment. Matches are verified: Spark's banded `levenshtein` with a limit turns most down in
 compiled code, and a banded bit-parallel automaton (one small word of vertical deltas, a column a character) gives the
 distance of the rest. Links join into classes by distributed components; of each class, copies
-included, the first line by (doc_id, place) stays.
+included, the first line by (doc_id, row, place) stays.
 
 Skew: copies of a line are one row after the first combine; a segment shared by many different lines is compared
-chunk by chunk, and only links leave a pair of chunks (see candidates); a chunk is bounded, whatever the key.
+chunk by chunk, filed and probing lines both in chunks of bounded size, and only links leave a pair of chunks (see candidates).
+
+Every row has a number of its own (see numbered), so rows that share an id, or repeat, or have none, are told apart, and a place is
+dropped from its own row only. Lines are matched with their class by 128 bits of hash.
 
 Defined results: null text is empty and has one empty line; lines shorter than `least` are never linked to different ones, and exact
-repeats of them go down to `shortest` characters (1 in op10 and the pipeline: all lines but blank ones); a line may repeat within its document; documents that share an id are judged as one, place by place; a null id sorts first.
-An empty table: no rows. Extra columns pass through.
+repeats of them go down to `shortest` characters (1 in op10 and the pipeline: all lines but blank ones); a line may repeat within its document; of rows that
+share an id the first in the table has its lines first; a null id sorts first. An empty table: no rows. Extra columns pass
+through, whatever their names; those named as an added one are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, lower_ascii
+from .common import components, cut, lower_ascii, numbered
 
 EDITS, LEAST = 2, 20
 #: The lines of a key with more than HOT filed ones are compared in chunks of about CHUNK.
@@ -71,34 +75,39 @@ def probes(lines: DataFrame, edits: int = EDITS) -> DataFrame:
 def candidates(lines: DataFrame, edits: int = EDITS, most: int = HOT, chunk: int = CHUNK) -> DataFrame:
     """Pairs a < b (line_id) of lines that share a key; every pair within the edits is among them. Pairs may repeat.
 
-    A key under which more than `most` lines are filed pairs none of them in the join. Its lines are held in chunks instead, and
-    each chunk of filed lines is compared with each chunk of probing ones inside one row: only pairs within the edits leave it.
+    A key under which more than `most` lines are filed pairs none of them in the join. Its filed lines are held in chunks instead, and so
+    are its probing ones; each chunk of the one is compared with each of the other inside one row, and only pairs within the edits leave it.
     """
-    own, looked = filed(lines, edits).select("line_id", "key", "other"), probes(lines, edits).select("line_id", "key")
-    hot = cut(own.groupBy("key", "other").count().where(F.col("count") > most).select("key", "other", F.ceil(F.col("count") / chunk).cast("int").alias("parts")), "line-hot")
+    own = filed(lines, edits).select("line_id", "key")
+    hot = cut(own.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key", F.ceil(F.col("n") / chunk).alias("parts")), "line-hot")
     n = hot.count()
     small = lambda df: F.broadcast(df) if n <= BROADCAST_LINES else df
-    named = ["key", "other"]
-    cold = own.join(small(hot), named, "left_anti") if n else own
+    cold = own
+    if n:
+        cold = cold.join(small(hot.select("key")), "key", "left_anti")
     a, b = F.col("line_id"), F.col("other_id")
-    met = cold.join(looked.withColumnRenamed("line_id", "other_id"), "key").where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    looked = probes(lines, edits).select(F.col("line_id").alias("other_id"), "key")
+    # a bounded number of filed lines a key: no sort of the probes
+    met = looked.join(cold.hint("shuffle_hash"), "key").where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
     if not n:
         return met
-    # only lines as long as those of hot keys, or a little longer, can be in them
-    sizes = hot.select(F.explode(F.sequence(F.col("other"), F.col("other") + edits)).alias("size")).distinct()
-    long = lines.join(small(sizes), "size", "left_semi")
-    placed = lambda rows: rows.join(small(hot), named).withColumn("part", F.pmod(F.xxhash64("line_id"), F.col("parts")))
-    held = lambda rows, name: rows.groupBy(*named, "part", "parts").agg(F.collect_set(F.struct("line_id", "line")).alias(name))
+    placed = lambda rows: rows.join(small(hot), "key")
+    asked = cut(placed(probes(lines, edits).select("line_id", "line", "key")), "line-probes")
+    counts = cut(asked.groupBy("key").agg(F.ceil(F.count("*") / chunk).alias("chunks")), "line-asked")
+    m = counts.count()
+    with_chunks = lambda rows: rows.join(F.broadcast(counts) if m <= BROADCAST_LINES else counts, "key")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - F.lit(1).cast("long")))
+    held = lambda rows, chunks, name: rows.groupBy("key", "parts", "chunks", F.pmod(F.xxhash64("line_id"), chunks).alias(name)).agg(F.collect_set(F.struct("line_id", "line")).alias(f"{name}s"))
     # each chunk of filed lines goes to every chunk of probing ones, so that a key is spread over its chunks
-    few = held(placed(filed(long, edits)), "own").select(*named, "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - F.lit(1).cast("long"))).alias("part"))
-    many = held(placed(probes(long, edits)), "others").drop("parts")
+    few = held(with_chunks(placed(filed(lines, edits).select("line_id", "line", "key"))), F.col("parts"), "own").select("key", "owns", every(F.col("chunks")).alias("other"))
+    many = held(with_chunks(asked), F.col("chunks"), "other").select("key", "others", "other")
     near = F.flatten(
-        F.transform("own", lambda x: F.transform(
+        F.transform("owns", lambda x: F.transform(
             F.filter("others", lambda y: (x["line_id"] != y["line_id"]) & (F.levenshtein(x["line"], y["line"], edits) >= 0)),
             lambda y: F.struct(F.least(x["line_id"], y["line_id"]).alias("a"), F.greatest(x["line_id"], y["line_id"]).alias("b")),
         ))
     )
-    within = few.join(many, [*named, "part"]).select(F.explode(near).alias("p")).select("p.a", "p.b")
+    within = few.join(many, ["key", "other"]).select(F.explode(near).alias("p")).select("p.a", "p.b")
     return met.union(within)
 
 
@@ -145,11 +154,21 @@ def bit_parallel_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
     return F.when(F.abs(F.length(a) - F.length(b)) > edits, F.lit(edits + 1)).otherwise(F.least(found, F.lit(edits + 1)))
 
 
-def unique_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """Each different line: line_id, line, size (characters), copies, first (struct doc_id, place). A cut table."""
-    rows = docs.select("doc_id", F.posexplode(F.transform(split_lines(F.col("text")), normal)).alias("place", "line")).where(F.length("line") >= least)
-    lines = rows.groupBy("line").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "place")).alias("first"))
-    return cut(lines.withColumn("size", F.length("line")).withColumn("line_id", F.monotonically_increasing_id()), "lines")
+def signs() -> list[Column]:
+    """128 bits of a line."""
+    return [F.xxhash64("line").alias("sign"), F.xxhash64("line", F.lit(17)).alias("sign2")]
+
+
+def lines_of(rows: DataFrame, shortest: int) -> DataFrame:
+    """rows as numbered() gives them -> file, at, doc_id, place, line (normal, of `shortest` characters or more)."""
+    found = rows.select("file", "at", F.col("row.doc_id").alias("doc_id"), F.posexplode(split_lines(F.col("row.text"))).alias("place", "line"))
+    return found.withColumn("line", normal(F.col("line"))).where(F.length("line") >= shortest)
+
+
+def unique_lines(found: DataFrame) -> DataFrame:
+    """Each different line: line_id, line, size (characters), copies. A cut table."""
+    lines = found.groupBy("line").agg(F.count("*").alias("copies"))
+    return cut(lines.select(F.monotonically_increasing_id().alias("line_id"), "line", F.length("line").alias("size"), "copies"), "lines")
 
 
 def link(lines: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -165,35 +184,37 @@ def link(lines: DataFrame, edits: int = EDITS) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, shortest: int | None = None) -> DataFrame:
     """docs (doc_id, text, ...) with text without its repeated lines, and n_lines, n_dropped, n_links (links of its lines to
-    different lines), first_docs (ids of the documents where the first of the dropped lines are, sorted).
+    different lines), first_docs (ids of the documents where the first of the dropped lines are, sorted, each once).
 
     Lines of `least` characters or more are compared with others, those of `shortest` (if not given: least) or more go if they repeat."""
     shortest = least if shortest is None else max(1, shortest)
-    lines = unique_lines(docs, shortest)
+    rows = numbered(docs)
+    found = lines_of(rows, shortest)
+    lines = unique_lines(found)
     links = link(lines.where(F.col("size") >= least) if shortest < least else lines, edits)
-    joined = components(links.select("a", "b"), "lines")
+    joined = components(links.select("a", "b"), "lines").select(F.col("node").alias("line_id"), F.col("component").alias("class"))
     degree = links.select(F.explode(F.array("a", "b")).alias("line_id")).groupBy("line_id").agg(F.count("*").alias("links"))
     # only lines that repeat or link matter from here on
-    classes = lines.join(joined.withColumnRenamed("node", "line_id"), "line_id", "left").where("copies > 1 or component is not null").withColumn("class", F.coalesce("component", "line_id"))
-    heads = classes.groupBy("class").agg(F.min("first").alias("head"))
-    known = cut(classes.join(heads, "class").join(degree, "line_id", "left").select(F.md5("line").alias("sign"), "head", F.coalesce("links", F.lit(0)).alias("links")), "line-classes")
-    rows = docs.select("doc_id", F.posexplode(F.transform(split_lines(F.col("text")), normal)).alias("place", "line")).where(F.length("line") >= shortest)
-    marked = rows.select("doc_id", "place", F.md5("line").alias("sign")).join(known, "sign")
-    repeat = ~F.struct("doc_id", "place").eqNullSafe(F.col("head"))
-    per = marked.groupBy("doc_id").agg(
-        F.sort_array(F.collect_set(F.when(repeat, F.col("place")))).alias("_drop"),
+    known = lines.join(joined, "line_id", "left").where("copies > 1 or class is not null").join(degree, "line_id", "left")
+    known = cut(known.select(*signs(), F.coalesce("class", "line_id").alias("class"), F.coalesce("links", F.lit(0)).alias("links")), "line-classes")
+    marked = cut(found.select("file", "at", "doc_id", "place", *signs()).join(known, ["sign", "sign2"]).drop("sign", "sign2"), "line-places")
+    # a table, so that the join with it can split a class that holds many places
+    heads = cut(marked.groupBy("class").agg(F.min(F.struct("doc_id", "file", "at", "place")).alias("head")), "line-heads")
+    repeat = ~F.struct("file", "at", "place").eqNullSafe(F.struct("head.file", "head.at", "head.place"))
+    per = marked.join(heads, "class").groupBy("file", "at").agg(
+        F.collect_set(F.when(repeat, F.col("place"))).alias("drop"),
         F.sort_array(F.collect_set(F.when(repeat, F.col("head.doc_id")))).alias("first_docs"),
         F.sum("links").alias("n_links"),
     )
+    whole = rows.join(per, ["file", "at"], "left")
+    drop = F.coalesce(F.size("drop"), F.lit(0))
+    gone = F.map_from_arrays("drop", F.transform("drop", lambda x: F.lit(True)))
+    # bound once, so that it is not made anew for each line
+    stays = F.flatten(F.transform(F.array(gone), lambda m: F.filter(split_lines(F.col("row.text")), lambda x, i: F.element_at(m, i).isNull())))
+    text = F.when(drop > 0, F.array_join(stays, "\n")).otherwise(F.col("row.text"))
     added = ("n_lines", "n_dropped", "n_links", "first_docs")
-    kept = [c for c in docs.columns if c not in added]
-    joined_docs = docs.select(*kept).withColumnRenamed("doc_id", "_doc").join(per, F.col("_doc").eqNullSafe(F.col("doc_id")), "left").drop("doc_id").withColumnRenamed("_doc", "doc_id")
-    drop = F.map_from_arrays("_drop", F.transform("_drop", lambda x: F.lit(True)))
-    stays = F.filter(split_lines(F.col("text")), lambda x, i: F.element_at(F.col("_map"), i).isNull())
-    joined_docs = joined_docs.withColumn("_map", drop)
-    text = F.when(F.coalesce(F.size("_drop"), F.lit(0)) > 0, F.array_join(stays, "\n")).otherwise(F.col("text"))
-    return joined_docs.select(
-        *(F.when(F.lit(True), text).alias("text") if c == "text" else F.col(f"`{c}`") for c in kept),
-        F.size(split_lines(F.col("text"))).cast("long").alias("n_lines"), F.greatest(F.lit(0), F.coalesce(F.size("_drop"), F.lit(0))).cast("long").alias("n_dropped"),
+    return whole.select(
+        *(text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in added),
+        F.size(split_lines(F.col("row.text"))).cast("long").alias("n_lines"), F.greatest(F.lit(0), drop).cast("long").alias("n_dropped"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("first_docs", F.array().cast("array<long>")).alias("first_docs"),
     )
