@@ -278,6 +278,11 @@ def thinness_ratio(g) -> Column:
     return F.when(p > 0, 4 * 3.141592653589793 * area(g) / (p * p))
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def centroid(g) -> Column:
     """Of the parts of the highest dimension, weighted by area, length or number; null if empty."""
     g = _col(g)
@@ -286,26 +291,28 @@ def centroid(g) -> Column:
     def add(acc, w, x, y):
         return F.struct((acc["w"] + w).alias("w"), (acc["x"] + w * x).alias("x"), (acc["y"] + w * y).alias("y"))
 
-    def over(rings, first, f):
+    def over(rings, f):
         return F.aggregate(
             rings, zero,
             lambda acc, s: F.when(F.size(s["r"]) > 1, F.aggregate(F.sequence(F.lit(1), F.size(s["r"]) - 1), acc, lambda a, i: f(a, s, F.get(s["r"], i - 1), F.get(s["r"], i)))).otherwise(acc),
         )
 
-    # signed rings: shells count as counter-clockwise, holes as clockwise
-    ringed = F.flatten(F.transform(F.filter(g["parts"], lambda p: p["kind"] == "Polygon"), lambda p: F.transform(p["rings"], lambda r, i: F.struct(r.alias("r"), (F.when(i == 0, 1.0).otherwise(-1.0) * F.signum(_ring_area(r))).alias("s")))))
-    origin = first_coordinate(g)
+    def of(origin):
+        # signed rings: shells count as counter-clockwise, holes as clockwise
+        ringed = F.flatten(F.transform(F.filter(g["parts"], lambda p: p["kind"] == "Polygon"), lambda p: F.transform(p["rings"], lambda r, i: F.struct(r.alias("r"), (F.when(i == 0, 1.0).otherwise(-1.0) * F.signum(_ring_area(r))).alias("s")))))
+
+        def triangle(acc, s, a, b):
+            w = s["s"] * ((a["x"] - origin["x"]) * (b["y"] - origin["y"]) - (b["x"] - origin["x"]) * (a["y"] - origin["y"])) / 2
+            return add(acc, w, (a["x"] + b["x"] - 2 * origin["x"]) / 3, (a["y"] + b["y"] - 2 * origin["y"]) / 3)
 
-    def triangle(acc, s, a, b):
-        w = s["s"] * ((a["x"] - origin["x"]) * (b["y"] - origin["y"]) - (b["x"] - origin["x"]) * (a["y"] - origin["y"])) / 2
-        return add(acc, w, (a["x"] + b["x"] - 2 * origin["x"]) / 3, (a["y"] + b["y"] - 2 * origin["y"]) / 3)
+        lines = F.transform(F.flatten(F.filter(g["parts"], lambda p: p["kind"] != "Point")["rings"]), lambda r: F.struct(r.alias("r"), F.lit(1.0).alias("s")))
+        by_length = over(lines, lambda acc, s, a, b: add(acc, _segment(a, b), (a["x"] + b["x"]) / 2 - origin["x"], (a["y"] + b["y"]) / 2 - origin["y"]))
+        by_count = F.aggregate(coordinates(g), zero, lambda acc, c: add(acc, F.lit(1.0), c["x"] - origin["x"], c["y"] - origin["y"]))
+        # the next kind of weight is worked out only where the last one is nothing
+        best = _let(over(ringed, triangle), lambda x: F.when(x["w"] > 0, x).otherwise(_let(by_length, lambda y: F.when(y["w"] > 0, y).otherwise(by_count))))
+        return _let(best, lambda m: point(origin["x"] + m["x"] / m["w"], origin["y"] + m["y"] / m["w"]))
 
-    by_area = over(ringed, None, triangle)
-    lines = F.transform(F.flatten(F.filter(g["parts"], lambda p: p["kind"] != "Point")["rings"]), lambda r: F.struct(r.alias("r"), F.lit(1.0).alias("s")))
-    by_length = over(lines, None, lambda acc, s, a, b: add(acc, _segment(a, b), (a["x"] + b["x"]) / 2 - origin["x"], (a["y"] + b["y"]) / 2 - origin["y"]))
-    by_count = F.aggregate(coordinates(g), zero, lambda acc, c: add(acc, F.lit(1.0), c["x"] - origin["x"], c["y"] - origin["y"]))
-    best = F.when(by_area["w"] > 0, by_area).when(by_length["w"] > 0, by_length).otherwise(by_count)
-    return F.when(~is_empty(g), point(origin["x"] + best["x"] / best["w"], origin["y"] + best["y"] / best["w"]))
+    return F.when(~is_empty(g), _let(first_coordinate(g), of))
 
 
 def interpolate(a, b, share) -> Column:

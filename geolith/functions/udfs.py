@@ -99,7 +99,7 @@ def _predicate(name):
         meet = (ea["xmin"] <= eb["xmax"]) & (eb["xmin"] <= ea["xmax"]) & (ea["ymin"] <= eb["ymax"]) & (eb["ymin"] <= ea["ymax"])
         return F.when(a.isNull() | b.isNull(), F.lit(None).cast("boolean")).when(F.coalesce(meet, F.lit(False)), exact(a, b)).otherwise(F.lit(False)).alias(name)
 
-    call.__name__ = name
+    call.__name__, call.exact = name, exact
     return call
 
 

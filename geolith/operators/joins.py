@@ -29,7 +29,9 @@ def _boxed(df: DataFrame, geom: str, side: str, margin: float = 0.0) -> DataFram
     named = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(f"{side}row"), C.envelope(geom).alias(f"{side}env"))
     e = F.col(f"{side}env")
     box = F.struct((e["xmin"] - margin).alias("xmin"), (e["ymin"] - margin).alias("ymin"), (e["xmax"] + margin).alias("xmax"), (e["ymax"] + margin).alias("ymax"))
-    return named.where(e.isNotNull()).withColumn(f"{side}box", box).withColumn(f"{side}level", _level(e, margin))
+    g = F.col(f"{side}row.`{geom}`")
+    shape = F.when(g["kind"] == "Point", F.lit("point")).when(is_box(g, e), F.lit("box"))  # told once a row, not once a pair
+    return named.where(e.isNotNull()).withColumn(f"{side}box", box).withColumn(f"{side}level", _level(e, margin)).withColumn(f"{side}shape", shape)
 
 
 def _filed(df: DataFrame, side: str, levels: list[int]) -> DataFrame:
@@ -49,10 +51,11 @@ def _filed(df: DataFrame, side: str, levels: list[int]) -> DataFrame:
 
 def _levels(*frames: tuple[DataFrame, str]) -> list[int]:
     """Levels that occur: a few dozen numbers at most."""
-    found: set[int] = set()
+    every = None
     for df, side in frames:
-        found |= {r[0] for r in df.select(f"{side}level").distinct().collect()}
-    return sorted(found)
+        own = df.select(F.col(f"{side}level").alias("level"))
+        every = own if every is None else every.union(own)
+    return sorted(r[0] for r in every.distinct().collect())
 
 
 def envelope_pairs(left: DataFrame, right: DataFrame, lgeom: str = "geom", rgeom: str = "geom", margin: float = 0.0) -> DataFrame:
@@ -65,7 +68,7 @@ def envelope_pairs(left: DataFrame, right: DataFrame, lgeom: str = "geom", rgeom
     lb, rb, size = F.col("lbox"), F.col("rbox"), F.pow(F.lit(2.0), F.col("level"))
     meet = (lb["xmin"] <= rb["xmax"]) & (rb["xmin"] <= lb["xmax"]) & (lb["ymin"] <= rb["ymax"]) & (rb["ymin"] <= lb["ymax"])
     once = (F.col("level") == F.greatest("llevel", "rlevel")) & (F.floor(F.greatest(lb["xmin"], rb["xmin"]) / size) == F.col("cx")) & (F.floor(F.greatest(lb["ymin"], rb["ymin"]) / size) == F.col("cy"))
-    return pairs.where(meet & once).select("lrow", "rrow", "lenv", "renv")
+    return pairs.where(meet & once).select("lrow", "rrow", "lenv", "renv", "lshape", "rshape")
 
 
 def _flat(pairs: DataFrame, left: DataFrame, right: DataFrame, *more: Column) -> DataFrame:
@@ -94,11 +97,14 @@ def spatial_join(left: DataFrame, right: DataFrame, predicate: str = "intersects
     settled by built-in comparisons; only the rest goes to the kernel."""
     pairs = envelope_pairs(left, right, lgeom, rgeom)
     a, b = F.col(f"lrow.`{lgeom}`"), F.col(f"rrow.`{rgeom}`")
-    rule = _by_envelope(predicate, a, b, F.col("lenv"), F.col("renv"))
-    pairs = pairs.withColumn("_known", rule)
-    sure = pairs.where(F.col("_known")).drop("_known")
-    open_ = pairs.where(F.col("_known").isNull()).drop("_known").where(PREDICATES[predicate](a, b))
-    return _flat(sure.unionByName(open_), left, right)
+    pairs = pairs.withColumn("known", _by_envelope(predicate, F.col("lshape"), F.col("rshape"), F.col("lenv"), F.col("renv"))).where(F.coalesce("known", F.lit(True)))
+    return _flat(_settled(pairs, PREDICATES[predicate], a, b), left, right)
+
+
+def _settled(pairs: DataFrame, predicate, a: Column, b: Column) -> DataFrame:
+    """Pairs that are known, and those that the kernel finds; what is known reaches it as nulls, which it passes over."""
+    open_ = F.col("known").isNull()
+    return pairs.where(F.coalesce(F.col("known"), predicate.exact(F.when(open_, a), F.when(open_, b))))
 
 
 def is_box(g: Column, env: Column) -> Column:
@@ -112,9 +118,9 @@ def is_box(g: Column, env: Column) -> Column:
     return F.coalesce(shape & F.forall(r, corner) & F.forall(sides, lambda x: x) & turn, F.lit(False))
 
 
-def _by_envelope(predicate: str, a: Column, b: Column, ea: Column, eb: Column) -> Column:
+def _by_envelope(predicate: str, sa: Column, sb: Column, ea: Column, eb: Column) -> Column:
     """True or false where envelopes settle it, else null. Envelopes meet already."""
-    box_a, box_b, point_b, point_a = is_box(a, ea), is_box(b, eb), b["kind"] == "Point", a["kind"] == "Point"
+    box_a, box_b, point_b, point_a = (F.coalesce(s == n, F.lit(False)) for s, n in ((sa, "box"), (sb, "box"), (sb, "point"), (sa, "point")))
     inside = (ea["xmin"] < eb["xmax"]) & (eb["xmin"] < ea["xmax"]) & (ea["ymin"] < eb["ymax"]) & (eb["ymin"] < ea["ymax"])
     within = lambda p, q: (q["xmin"] <= p["xmin"]) & (p["xmax"] <= q["xmax"]) & (q["ymin"] <= p["ymin"]) & (p["ymax"] <= q["ymax"])
     strict = (ea["xmin"] < eb["xmin"]) & (eb["xmax"] < ea["xmax"]) & (ea["ymin"] < eb["ymin"]) & (eb["ymax"] < ea["ymax"])
@@ -136,9 +142,8 @@ def centroid_join(left: DataFrame, right: DataFrame, lgeom: str = "geom", rgeom:
     a, c = F.col(f"lrow.`{lgeom}`"), F.col("rrow._centre")
     ea, p = F.col("lenv"), F.col("rrow._centre.parts")[0]["rings"][0][0]
     inside = (ea["xmin"] <= p["x"]) & (p["x"] <= ea["xmax"]) & (ea["ymin"] <= p["y"]) & (p["y"] <= ea["ymax"])
-    pairs = pairs.where(inside).withColumn("_box", is_box(a, ea))
-    general = pairs.where(~F.col("_box")).where(U.intersects(a, c))
-    return _flat(pairs.where("_box").drop("_box").unionByName(general.drop("_box")), left, right)
+    pairs = pairs.where(inside).withColumn("known", F.when(F.col("lshape") == "box", F.lit(True)))
+    return _flat(_settled(pairs, U.intersects, a, c), left, right)
 
 
 def neighbours(queries: DataFrame, index: DataFrame, key: str, within: float, n: int, tie: str, qgeom: str = "geom", igeom: str = "geom") -> DataFrame:
@@ -150,9 +155,9 @@ def neighbours(queries: DataFrame, index: DataFrame, key: str, within: float, n:
     first = Window.partitionBy(key).orderBy("envelope_distance", tie)
     picked = near.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= n).drop("_r")
     points = C.is_kind(qgeom, "Point") & C.is_kind(other, "Point")
-    fast = picked.where(points).withColumn("distance", F.col("envelope_distance"))
-    exact = picked.where(~points).withColumn("distance", U.distance(qgeom, other))
-    ranked = fast.unionByName(exact)
+    # points reach the kernel as nulls, which it passes over
+    exact = U.distance(F.when(~points, F.col(qgeom)), F.when(~points, F.col(other)))
+    ranked = picked.withColumn("distance", F.when(points, F.col("envelope_distance")).otherwise(exact))
     again = Window.partitionBy(key).orderBy("envelope_distance" if n == 1 else "distance", tie)
     return ranked.withColumn("rank", F.row_number().over(again))
 

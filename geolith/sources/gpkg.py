@@ -22,6 +22,7 @@ from ..functions import columns as C
 from ..functions import udfs as U
 from ..functions.types import GEOM
 from ..operators import crs, merge
+from ..shared import shared_root
 
 # Fixed values of the format: the application id and version, and the definitions of its tables.
 APPLICATION_ID, USER_VERSION, BATCH = 1196444487, 10200, 4000
@@ -172,16 +173,27 @@ def table_schema(path: str, table: str, with_key: bool = False) -> T.StructType:
     spatial = geometry_column(path, table)
     with reading(path) as conn:
         info = table_info(conn, table)
-    if not info:
-        raise ValueError(f"missing table: {table}")
+        if not info:
+            raise ValueError(f"missing table: {table}")
+        stored = _stored(conn, table, [c["name"] for c in info if isinstance(spark_type(c["type"]), (T.LongType, T.DoubleType)) and not c["pk"]])
     out = T.StructType()
     for c in info:
         if spatial and c["pk"] and spark_type(c["type"]) == T.LongType() and not with_key:
             continue
-        out.add(c["name"], T.BinaryType() if spatial and c["name"] == spatial["column_name"] else spark_type(c["type"]))
+        out.add(c["name"], T.BinaryType() if spatial and c["name"] == spatial["column_name"] else stored.get(c["name"]) or spark_type(c["type"]))
     return out
 
 
+def _stored(conn, table: str, names: list[str]) -> dict[str, T.DataType]:
+    """Number columns that hold more than they declare, and the type that holds it all: doubles for fractions, texts for texts and bytes."""
+    if not names:
+        return {}
+    asked = ", ".join(f"max(typeof({quote(n)}) IN ('text', 'blob')), max(typeof({quote(n)}) = 'real')" for n in names)
+    found = list(rows(conn, f"SELECT {asked} FROM {quote(table)}")[0].values()) if len(names) <= 400 else []
+    kinds = {n: T.StringType() if text else T.DoubleType() if real else None for n, text, real in zip(names, found[::2], found[1::2], strict=False)}
+    return {n: k for n, k in kinds.items() if k}
+
+
 class Span(InputPartition):
     def __init__(self, low: int, high: int):
         self.low, self.high = low, high
@@ -207,9 +219,16 @@ class GpkgReader(DataSourceReader):
         self.schema, self.path, self.table, self.size, self.where = schema, options["path"], options["table"], int(options.get("partition_rows", 50_000)), []
 
     def partitions(self):
+        """Spans of so many rows each, counted, as row ids may be far apart."""
+        spans = []
         with reading(self.path) as conn:
-            low, high = tuple(conn.execute(f"SELECT min(rowid), max(rowid) FROM {quote(self.table)}").fetchone())
-        return [] if low is None else [Span(a, a + self.size) for a in range(low, high + 1, self.size)]
+            conn.row_factory = None
+            low, high = conn.execute(f"SELECT min(rowid), max(rowid) FROM {quote(self.table)}").fetchone()
+            while low is not None and low <= high:
+                found = conn.execute(f"SELECT rowid FROM {quote(self.table)} WHERE rowid >= ? ORDER BY rowid LIMIT 1 OFFSET ?", (low, self.size)).fetchone()
+                spans.append(Span(low, found[0] if found else high + 1))
+                low = found and found[0]
+        return spans
 
     def read(self, partition: Span):
         import pyarrow as pa
@@ -246,7 +265,7 @@ class PushingReader(GpkgReader):
 
 
 def _value(v, kind):
-    """SQLite's columns hold what they like; what isn't of the declared type is null, but for texts."""
+    """SQLite's columns hold what they like, and the schema has room for it; a boolean other than 0 or 1 is null."""
     if v is None:
         return None
     if isinstance(kind, T.BooleanType):
@@ -510,8 +529,7 @@ def amend(path: str, table: str, updates: DataFrame, key: str | None = None, met
         merged = merged.withColumn(pk, F.when(single, F.col(pk)))
     merged = merged.drop("_old")
     columns = specs(merged, None)
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/geolith-{uuid.uuid4().hex}"
-    held = f"{root.rstrip('/')}/geolith/amend-{uuid.uuid4().hex}"
+    held = f"{shared_root(spark)}/geolith/amend-{uuid.uuid4().hex}"
     encoded = _encoded(merged, columns, spatial["srid"] if spatial else 0)
     encoded.write.parquet(held)
     encoded = spark.read.schema(encoded.schema).parquet(held)

@@ -6,7 +6,9 @@ import pytest
 import __spark_entry__ as entry
 from geolith.functions import construct as cs
 from geolith.functions import topology as tp
+from geolith.functions import udfs as U
 from geolith.functions.codec import from_wkt, to_wkt
+from geolith.operators import network
 from geolith.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -44,9 +46,35 @@ def g(text):
     return from_wkt(text)
 
 
-def test_cut_line():
-    square = g("LINESTRING (0 0, 10 0)")
-    assert [to_wkt(x) for x in cs.cut_line(square, g("LINESTRING (5 -1, 5 1)"))] in (["LINESTRING (5 0, 0 0)", "LINESTRING (10 0, 5 0)"],)
+RIM = "0 0, 0 10, 10 10, 10 0, 0 0"
+
+
+@pytest.mark.parametrize(
+    "line, cutter, want",
+    [
+        ("LINESTRING (0 0, 10 0)", "LINESTRING (5 -1, 5 1)", ["LINESTRING (5 0, 0 0)", "LINESTRING (10 0, 5 0)"]),
+        (f"LINESTRING ({RIM})", "LINESTRING (-1 -1, 10 -1)", ["LINESTRING (0 0, 10 0, 10 10, 0 10, 0 0)"]),
+        (f"LINEARRING ({RIM})", "LINESTRING (-1 -1, 10 -1)", [f"LINEARRING ({RIM})"]),
+        (f"LINESTRING ({RIM})", "LINESTRING (-1 -1, 1 5, 1 -1)", ["LINESTRING (0 2, 0 0)", "LINESTRING (1 0, 10 0, 10 10, 0 10, 0 2)", "LINESTRING (0 0, 1 0)"]),
+        (f"LINEARRING ({RIM})", "LINESTRING (-1 -1, 1 5, 1 -1)", ["LINESTRING (1 0, 0 0, 0 2)", "LINESTRING (1 0, 10 0, 10 10, 0 10, 0 2)"]),
+        (f"LINESTRING ({RIM})", "LINESTRING (-1 -1, 1 5, 1 -1, 3 5, 3 -1)", ["LINESTRING (0 2, 0 0)", "LINESTRING (3 0, 10 0, 10 10, 0 10, 0 2)", "LINESTRING (1.3333333333333333 0, 3 0)", "LINESTRING (1 0, 1.3333333333333333 0)", "LINESTRING (0 0, 1 0)"]),
+        (f"LINEARRING ({RIM})", "LINESTRING (-1 -1, 1 5, 1 -1, 3 6, -1 6)", ["LINESTRING (1 0, 0 0, 0 2)", "LINESTRING (0 6, 0 2)", "LINESTRING (1.2857142857142858 0, 10 0, 10 10, 0 10, 0 6)", "LINESTRING (1 0, 1.2857142857142858 0)"]),
+    ],
+)
+def test_cut_line(line, cutter, want):
+    got = cs.cut_line(g(line), g(cutter))
+    assert [k for k, _ in got] == [g(w)[0] for w in want]
+    for (_, a), w in zip(got, want, strict=True):
+        assert len(a) == len(g(w)[1]) and all(abs(p[k] - q[k]) < 1e-9 for p, q in zip(a, g(w)[1], strict=True) for k in (0, 1))
+
+
+def test_noding_with_and_without_snapping(spark):
+    """Ends that miss each other by less than the tolerance meet only if snapped."""
+    rows = [(1, "LINESTRING (0 0, 10 0)"), (2, "LINESTRING (10.06 0.06, 20 0)"), (3, "LINESTRING (5 -5, 5 5)")]
+    lines = spark.createDataFrame(rows, "id long, w string").select("id", U.from_wkt("w").alias("geom"))
+    ends = lambda **how: {c for r in network.node(lines, "id", **how).collect() for c in map(tuple, r.geom.parts[0].rings[0])}
+    assert ends() == {(0, 0), (5, 0), (10, 0), (20, 0), (5, -5), (5, 5)}
+    assert (10.1, 0.1) in ends(snap=False)
 
 
 def test_overlay_and_relate():
