@@ -7,8 +7,10 @@ A row holds one part: the turns whose number falls in the same span of `part_tur
 Parts put one after the other are the whole dialogue, so a conversation without end never has to fit in one row; with
 the default almost all conversations are one part. A speaker has a row for each part, also where silent.
 
-Defined results: null text is empty; a null or empty role is `unknown`; a null turn comes first, as turn 0 does; repeated
-rows are repeated turns; a null conversation is one of its own. No rows: no rows. Extra columns are ignored.
+Defined results: null text is empty; a null or empty role is one speaker, null in the result and named `unknown` in others' views, and never
+taken for a speaker of that name; null turns have no order and come first, in parts of their own of about `part_turns` rows each, by a
+hash; turns that share a number share a part; repeated rows are repeated turns; a null conversation is one of its own. No rows: no rows. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -17,26 +19,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HEAD, TAIL = "<|im_start|>", "<|im_end|>\n"
+#: Parts of turns without a number count down from here.
+UNNUMBERED = -(1 << 60)
 
 
 def rotate(turns: DataFrame, part_turns: int = 256) -> DataFrame:
     """conv_id, turn, role, text -> conv_id, speaker, part, n_turns, n_spoken, rendered, mask.
 
     mask: array of struct(start, end), 0-based character offsets in `rendered` of what the speaker says, with the
-    closing tag, as training on a turn needs its end. Markers inside a text are broken up, so that a text can't open a turn.
+    closing tag, as training on a turn needs its end. Markers inside a text or a name are broken up and a name is one line, so that
+    neither can open a turn.
     """
-    role = F.when(F.coalesce(F.col("role"), F.lit("")) == "", F.lit("unknown")).otherwise(F.col("role"))
-    said = F.replace(F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("<|im_start|>"), F.lit("<| im_start|>")), F.lit("<|im_end|>"), F.lit("<| im_end|>"))
-    at = F.coalesce(F.col("turn").cast("long"), F.lit(0))
-    rows = turns.select(F.col("conv_id"), F.floor(at / part_turns).cast("long").alias("part"), F.struct(at.alias("turn"), role.alias("role"), said.alias("text")).alias("t"))
-    speakers = rows.groupBy("conv_id").agg(F.collect_set("t.role").alias("speakers"))
+    broken = lambda c: F.replace(F.replace(c, F.lit("<|im_start|>"), F.lit("<| im_start|>")), F.lit("<|im_end|>"), F.lit("<| im_end|>"))
+    role, at = F.when(F.col("role") != "", F.col("role")), F.col("turn").cast("long")
+    name = broken(F.translate(F.coalesce(role, F.lit("unknown")), "\r\n", "  "))
+    said = broken(F.coalesce(F.col("text"), F.lit("")))
+    rows = turns.select(F.col("conv_id"), F.floor(at / part_turns).cast("long").alias("part"), F.struct(at.alias("turn"), role.alias("role"), said.alias("text"), name.alias("name")).alias("t"))
+    loose = rows.where("part is null").groupBy("conv_id").agg(F.ceil(F.count("*") / part_turns).alias("loose")).withColumnRenamed("conv_id", "loose_id")
+    spread = F.lit(UNNUMBERED) - F.pmod(F.xxhash64("t"), F.col("loose"))
+    rows = rows.where("part is not null").unionByName(rows.where("part is null").join(loose, F.col("conv_id").eqNullSafe(F.col("loose_id"))).select("conv_id", spread.alias("part"), "t"))
+    speakers = rows.groupBy("conv_id").agg(F.collect_set(F.struct("t.role")).alias("speakers"))
     parts = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     both = parts.alias("p").join(speakers.alias("s"), F.col("p.conv_id").eqNullSafe(F.col("s.conv_id")))
-    views = both.select("p.conv_id", "part", "turns", F.explode("speakers").alias("speaker"))
+    views = both.select("p.conv_id", "part", "turns", F.explode("speakers").alias("s")).select("conv_id", "part", "turns", F.col("s.role").alias("speaker"))
 
     def piece(t):
-        named = F.when(t["role"] == F.col("speaker"), F.lit("assistant\n")).otherwise(F.concat(F.lit("user name="), t["role"], F.lit("\n")))
-        return F.struct(F.concat(F.lit(HEAD), named).alias("head"), F.concat(t["text"], F.lit(TAIL)).alias("body"), (t["role"] == F.col("speaker")).alias("own"))
+        own = t["role"].eqNullSafe(F.col("speaker"))
+        named = F.when(own, F.lit("assistant\n")).otherwise(F.concat(F.lit("user name="), t["name"], F.lit("\n")))
+        return F.struct(F.concat(F.lit(HEAD), named).alias("head"), F.concat(t["text"], F.lit(TAIL)).alias("body"), own.alias("own"))
 
     views = views.withColumn("pieces", F.transform("turns", piece))
     # starts of the bodies, by one fold

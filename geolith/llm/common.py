@@ -51,13 +51,13 @@ def bucket(col: Column, modulus: int) -> Column:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from the session; a temporary one only if unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, from the session; a temporary one only where all runs in this process."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        held = spark.sparkContext.getCheckpointDir()
-        root = held or f"file://{tempfile.mkdtemp(prefix='geolith-')}"
-        if not held:
-            spark.sparkContext.setCheckpointDir(root)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='geolith-')}"
+        spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 

@@ -126,7 +126,7 @@ class Index:
 
 def _blocks(benchmark: DataFrame, block_bytes: int):
     """The benchmark in blocks of about block_bytes of text each."""
-    rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
     size = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = max(1, -(-size // block_bytes))
     for k in range(n):

@@ -39,23 +39,24 @@ def op4_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = """
 with t as (
-  select conv_id, cast(floor(coalesce(turn, 0) / 256.0) as bigint) as part, coalesce(turn, 0) as turn,
-         case when coalesce(role, '') = '' then 'unknown' else role end as role,
+  select conv_id, case when turn is null then -1152921504606846976 else cast(floor(turn / 256.0) as bigint) end as part, turn,
+         nullif(role, '') as role,
+         replace(replace(translate(coalesce(nullif(role, ''), 'unknown'), chr(13) || chr(10), '  '), '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') as name,
          replace(replace(coalesce(text, ''), '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') as text
   from conversations),
 s as (select distinct conv_id, role as speaker from t),
 p as (select distinct conv_id, part from t),
 v as (
-  select s.conv_id, s.speaker, p.part, t.turn, t.role, t.text, t.role = s.speaker as own,
-         '<|im_start|>' || case when t.role = s.speaker then 'assistant' else 'user name=' || t.role end || chr(10) as head,
+  select s.conv_id, s.speaker, p.part, t.turn, t.role, t.text, t.role is not distinct from s.speaker as own,
+         '<|im_start|>' || case when t.role is not distinct from s.speaker then 'assistant' else 'user name=' || t.name end || chr(10) as head,
          t.text || '<|im_end|>' || chr(10) as body
   from s join p on p.conv_id is not distinct from s.conv_id
   join t on t.conv_id is not distinct from p.conv_id and t.part = p.part),
 o as (
-  select *, sum(length(head) + length(body)) over (partition by conv_id, speaker, part order by turn, role, text rows unbounded preceding) as stop from v)
+  select *, sum(length(head) + length(body)) over (partition by conv_id, speaker, part order by turn nulls first, role nulls first, text rows unbounded preceding) as stop from v)
 select conv_id, speaker, part, count(*) as n_turns, count(*) filter (own) as n_spoken,
-       string_agg(head || body, '' order by turn, role, text) as rendered,
-       coalesce(string_agg(cast(stop - length(body) as bigint) || '-' || cast(stop as bigint), ',' order by turn, role, text) filter (own), '') as mask_spans
+       string_agg(head || body, '' order by turn nulls first, role nulls first, text) as rendered,
+       coalesce(string_agg(cast(stop - length(body) as bigint) || '-' || cast(stop as bigint), ',' order by turn nulls first, role nulls first, text) filter (own), '') as mask_spans
 from o group by conv_id, speaker, part
 """
 
@@ -89,7 +90,8 @@ def op6_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(labelled_sample(docs, labels, "toxic", 5, 0, toxicity.BOUND))
     scored = toxicity.score(docs, model)
-    return scored.select("doc_id", (bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return scored.select("doc_id", (bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"), spans.alias("spans"))
 
 
 def op7_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,9 +82,14 @@ def planes(fp: np.ndarray) -> np.ndarray:
 
 
 def near(fp: np.ndarray, rows: np.ndarray, sliced: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """(row numbers with any, bits of the fingerprints within the radius) for some rows against all; radius up to 3."""
+    """(row numbers with any, bits of the fingerprints within the radius) for some rows against all; radius up to 3.
+
+    A block is 64 fingerprints, a machine word of each plane; it is abandoned once all its distances from all rows are over the radius, and
+    so is a row once only the fingerprint itself is left."""
+    if not 0 <= radius <= 3:
+        raise ValueError("two counters tell distances up to 3")
     words = sliced.shape[1]
-    alive, full = rows, np.full(words, np.uint64(0xFFFFFFFFFFFFFFFF))
+    alive, blocks, full = rows, np.arange(words), np.full(words, np.uint64(0xFFFFFFFFFFFFFFFF))
     if len(fp) % 64:
         full[-1] = np.uint64((1 << (len(fp) % 64)) - 1)
     own = fp[rows]
@@ -98,16 +103,18 @@ def near(fp: np.ndarray, rows: np.ndarray, sliced: np.ndarray, radius: int = RAD
         over |= two & carry
         two ^= carry
         if p % 8 == 7:
-            # the fingerprint itself never goes over, so "all" means all but that one
-            keep = (np.bitwise_count(~over).sum(axis=1) > 1)
-            if not keep.all():
-                alive, own, one, two, over = alive[keep], own[keep], one[keep], two[keep], over[keep]
+            left = ~over
+            held, open_ = np.bitwise_count(left).sum(axis=1) > 1, left.any(axis=0)
+            if not held.all() or not open_.all():
+                alive, own, blocks, sliced = alive[held], own[held], blocks[open_], sliced[:, open_]
+                one, two, over = (x[held][:, open_] for x in (one, two, over))
                 if not len(alive):
                     break
     if radius < 3:
-        count = {0: one | two, 1: two, 2: one & two}[radius]
-        over = over | count
-    return alive, ~over
+        over = over | {0: one | two, 1: two, 2: one & two}[radius]
+    out = np.zeros((len(alive), words), np.uint64)
+    out[:, blocks] = ~over
+    return alive, out
 
 
 def block_links(fp: np.ndarray, radius: int = RADIUS, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:

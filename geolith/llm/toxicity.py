@@ -25,12 +25,13 @@ from pyspark.sql import types as T
 
 from .common import rest_of, slices
 
-BITS, BOUND, BLOCK = 17, 5000, 64
+BITS, BOUND, BLOCK, FLOOR = 17, 5000, 64, 0.1
 WORD = re.compile(r"[^\W_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Words of the text as it stands, so that they have its offsets; each is lower-cased on its own."""
+    return [w.lower() for w in WORD.findall(text)]
 
 
 def word_features(word: str, bits: int = BITS) -> list[int]:
@@ -150,7 +151,9 @@ class Model:
 
 
 def summary(p: np.ndarray) -> np.ndarray:
-    top, total = (float(p.max()), float(p.sum())) if len(p) else (0.0, 0.0)
+    """The greatest marginal, and the expected number of toxic words among those of FLOOR or more: the many words that are all but surely
+    clean must not add up to something in a long text."""
+    top, total = (float(p.max()), float(p[p >= FLOOR].sum())) if len(p) else (0.0, 0.0)
     return np.array([1.0, top, np.log1p(total)])
 
 
@@ -239,7 +242,7 @@ class Scorer:
         k = self.seen[word] = len(self.seen)
         if k >= self.table.shape[1]:
             self.table = np.concatenate((self.table, np.zeros_like(self.table)), axis=1)
-        f = word_features(word, self.bits)
+        f = word_features(word.lower(), self.bits)
         self.table[:, k] = self.m.own[f].sum(), self.m.before[f[0]], self.m.after[f[0]]
         return k
 
@@ -249,7 +252,7 @@ class Scorer:
             self.seen.clear()
         get, new, ids, lengths = self.seen.get, self._new, [], []
         for text in batch:
-            words = words_of(text)
+            words = WORD.findall(text)
             lengths.append(len(words))
             ids += [k if (k := get(w)) is not None else new(w) for w in words]
         ids = np.array(ids, np.int64)
@@ -289,10 +292,9 @@ def score(docs: DataFrame, model: Model, bits: int = BITS, with_spans: bool = Tr
                 for text, p in zip(rows, probs, strict=True):
                     found: list[dict] = []
                     if len(p) and p.max() >= 0.5:
-                        # lower-casing can change lengths, so offsets are of the text itself
                         own = [(m.start(), m.end()) for m in WORD.finditer(text)]
                         last = -2
-                        for k in np.flatnonzero(p >= 0.5).tolist() if len(own) == len(p) else ():
+                        for k in np.flatnonzero(p >= 0.5).tolist():
                             if k == last + 1:
                                 found[-1]["end"] = own[k][1]
                             else:
