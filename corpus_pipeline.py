@@ -1,6 +1,10 @@
 """The corpus pipeline: toxic documents go, repeated lines go, one document of each near-duplicate group stays,
 contaminated documents go, and what is left is packed into sequences.
 
+Nulls, repeats and empties, at every stage: a null text is an empty one, and may come out as either; rows that repeat are rows of their own (all
+copies of a line, or of a document, go but the first); an empty table gives an empty one; without labels of both kinds nothing is toxic; an
+empty benchmark rejects nothing.
+
 STAGES names the stages in order. Each takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
 again as the next one's docs. All but the last return the columns of documents.
 """
@@ -35,9 +39,12 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each component of linked fingerprints stays; rows without an id stay."""
-    found = simhash.near_duplicates(docs).select("doc_id", "component_id").where("doc_id <> component_id").select("doc_id").distinct()
-    return _as_documents(docs.join(found, "doc_id", "left_anti"))
+    """One document of each component of linked fingerprints stays: the one of the smallest doc_id, of rows that share it the first;
+    rows without an id come last. Rows are told apart by a number of their own."""
+    rows = cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "simhash-rows")
+    found = simhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    stay = found.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    return _as_documents(rows.join(stay.select("first.row"), "row", "left_semi"))
 
 
 def reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
