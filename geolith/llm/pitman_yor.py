@@ -2,8 +2,8 @@
 
 Every context word is a restaurant whose customers are the words that follow it; all these restaurants share one parent,
 whose customers are their tables, and whose own base is uniform. Seating is sampled by blocked Gibbs: in a sweep all customers of
-every (context, word) pair leave and sit down again, as the number of their tables is drawn exactly given their count, the parent's
-probability and the tables of the other words. Predictive probabilities are averaged over the last sweeps, and give scores and perplexities.
+every (context, word) pair leave and sit down again, as the number of their tables is drawn given their count, the parent's
+probability and the tables of the other words: exactly up to 256 customers or where tables are few, else from the saddlepoint of its distribution. Predictive probabilities are averaged over the last sweeps, and give scores and perplexities.
 
 Words: the most frequent training words (at most `vocabulary`) are dishes of their own; the others share one dish, and take their
 add-one share of it by their own count. All words are counted, over all training documents, and all pairs take seats, so
@@ -12,8 +12,8 @@ what is gathered grows with the corpus; only the vocabulary and vectors over it
 How it runs: pairs (context, word) of all documents are dealt by a hash into parts of about `part_tokens`, in one shuffle of
 packed, sorted arrays, into a table of one row a part. A part holds counts and where each pair occurs. A hot context is
 spread over all parts; its totals are combined as vectors. Sweeps run part by part, and between two sweeps the totals of
-all parts are added up (within one, a part sees those of the last). Seating is a function of seed, part and these recorded
-totals, so it is sampled anew wherever it is needed, and a lost executor costs a part's work and no state.
+all parts are added up (within one, a part sees those of the last). Each sweep's tables are written to the shared folder. Seating is a
+function of seed, part and the recorded totals, so scoring samples it anew, and a lost executor costs a part's work and no state.
 
 Defined results: null is empty text, which is the end alone; repeated rows score alike and each get a row; a null id is in the bucket
 of the empty string; without training documents the counts are zero and the base is the whole model. Extra columns are ignored.
@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, texts
+from .common import cut, drop_tables, slices, texts
 
 END, RARE = b"", 0
 VOCABULARY, PART_TOKENS, SWEEPS, KEPT, ROUNDS, SEED = 65_535, 3_000_000, 6, 4, 8, 11
@@ -66,38 +66,48 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y - np.log(steps)
 
 
-def _crowded(c: np.ndarray, a: np.ndarray, base: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Table counts of pairs with many customers, by rejection from restaurants of one dish and strength d * b.
+def _log_seatings(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """log of the probability that t table sizes (1 - (1 - z)^d) add up to c, by the saddlepoint; sound for many tables."""
+    share = np.clip(t / c, 1e-12, 1 - 1e-9)
+    low, high = np.full_like(c, -60.0), np.zeros_like(c)  # log of y = 1 - z; the mean size falls with it
+    for _ in range(50):
+        mid = (low + high) / 2
+        y = np.exp(mid)
+        under = -np.expm1(mid) * d * np.exp((d - 1) * mid) * share < -np.expm1(d * mid)
+        low, high = np.where(under, low, mid), np.where(under, mid, high)
+    mid = (low + high) / 2
+    y, z = np.exp(mid), np.maximum(-np.expm1(mid), 1e-300)
+    mean = 1 / share
+    spread = np.maximum(mean * (1 + z * (1 - d) / y - mean), 1e-12)
+    return t * np.log(-np.expm1(d * mid)) - c * np.log(z) - 0.5 * np.log(2 * np.pi * t * spread)
 
-    In those the wait for the next new table is beta-geometric, so a draw takes a step a table, whatever the customers. The weights of
-    target and proposal differ by a factor whose ratio from t to t + 1, base * (a + t) / (b + t), falls with t: its peak bounds it, and b only
-    sets how often a draw is taken.
-    """
-    one = np.maximum(1 - base, 1e-12)
-    low, high = np.full(len(c), -1 + 1e-9), a.copy()
-    for _ in range(40):
-        b = (low + high) / 2
-        s = d * b
-        mean = np.exp(_log_gamma(s + 1) - _log_gamma(s + d) + _log_gamma(s + d + c) - _log_gamma(s + c)) / d - b
-        under = mean < (base * a - b) / one
-        low, high = np.where(under, b, low), np.where(under, high, b)
-    b = (low + high) / 2
-    factor = lambda i, t: t * np.log(base[i]) + _log_gamma(a[i] + t) - _log_gamma(b[i] + t)
+
+def _crowded(c: np.ndarray, a: np.ndarray, base: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Table counts of pairs with many customers and tables: their distribution, from the saddlepoint, at points around its peak, and
+    a draw from the lines between them. The work is the same whatever the customers."""
+    weight = lambda i, t: _log_seatings(c[i], t, d) + t * np.log(base[i]) + _log_gamma(a[i] + t) - _log_gamma(t + 1)
     every = np.arange(len(c))
-    bound = factor(every, np.clip(np.floor((base * a - b) / one) + 1, 1, c))
-    out, left = np.ones(len(c), np.int64), every
-    while len(left):
-        n, t, going = np.ones(len(left)), np.ones(len(left)), np.arange(len(left))
-        while len(going):
-            p = rng.beta(d * (b[left[going]] + t[going]), n[going] - d * t[going])
-            wait = np.ceil(np.log1p(-rng.random(len(going))) / np.log1p(-np.clip(p, 1e-300, 1 - 1e-16)))
-            n[going] += np.maximum(1, wait)
-            going = going[n[going] <= c[left[going]]]
-            t[going] += 1
-        taken = np.log1p(-rng.random(len(left))) <= factor(left, t) - bound[left]
-        out[left[taken]] = t[taken].astype(np.int64)
-        left = left[~taken]
-    return out
+    low, high = np.zeros(len(c)), np.log(c - 1e-3 * (c > 1))
+    for _ in range(60):  # the peak, by thirds of a logarithm
+        one, two = low + (high - low) / 3, high - (high - low) / 3
+        left = weight(every, np.exp(one)) > weight(every, np.exp(two))
+        low, high = np.where(left, low, one), np.where(left, two, high)
+    peak = np.exp((low + high) / 2)
+    h = np.maximum(0.01 * peak, 1e-3)
+    bend = weight(every, np.minimum(peak + h, c - 1e-3)) - 2 * weight(every, peak) + weight(every, np.maximum(peak - h, 1.0))
+    width = np.clip(h / np.sqrt(np.maximum(-bend, 1e-12)), 0.3, peak)
+    lo, hi = np.maximum(peak - 7 * width, 0.5), np.minimum(peak + 7 * width, c + 0.5)
+    at = lo[:, None] + (hi - lo)[:, None] * np.linspace(0, 1, 97)
+    i = np.repeat(every, 97)
+    x = weight(i, np.clip(at.ravel(), 1.0, c[i] - 1e-3)).reshape(at.shape)
+    x = np.exp(x - x.max(axis=1, keepdims=True))
+    sums = np.concatenate((np.zeros((len(c), 1)), np.cumsum((x[:, 1:] + x[:, :-1]) / 2, axis=1)), axis=1)
+    u = rng.random(len(c)) * sums[:, -1]
+    k = np.clip((sums <= u[:, None]).sum(axis=1) - 1, 0, 95)
+    # within a step the density is a line: its distribution function is a parabola
+    p, q, rest = x[every, k], x[every, k + 1], u - sums[every, k]
+    f = 2 * rest / np.maximum(p + np.sqrt(np.maximum(p * p + 2 * rest * (q - p), 0)), 1e-300)
+    return np.clip(np.rint(at[every, k] + np.clip(f, 0, 1) * (hi - lo) / 96), 1, c).astype(np.int64)
 
 
 def _shared(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
@@ -185,6 +195,31 @@ class Model:
     rare_log: tuple  # log10 of the denominators: of a rare word's share, of the base
 
 
+def one_sweep(part: int, k: int, u, w, counts, tables, many, at: Totals, theta: float, discount: float) -> np.ndarray:
+    """Tables after sweep k of a part; many: the pairs of two customers or more, as one customer has one table."""
+    # the recorded totals hold what this pair had in the last sweep
+    rest = np.maximum(at.tables[u[many]] - tables[many], 0)
+    out = tables.copy()
+    out[many] = seat(counts[many], at.word[w[many]], rest, theta, discount, np.random.default_rng((SEED, part, k)))
+    return out
+
+
+def sweep(state: DataFrame, known, theta: float, discount: float, k: int) -> DataFrame:
+    """Every customer of every part reseated once; tables (null: one a pair) go in and come out."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                x, counts = unpack(r["pairs"], np.uint32), unpack(r["counts"], np.uint32).astype(np.int64)
+                tables = (counts > 0).astype(np.int64) if r["tables"] is None else unpack(r["tables"], np.uint32).astype(np.int64)
+                new = one_sweep(r["part"], k, x >> 16, x & 0xFFFF, counts, tables, np.flatnonzero(counts >= 2), known.value, theta, discount)
+                yield pa.RecordBatch.from_arrays([pa.array([r["part"]], pa.int64()), *(pa.array([v], pa.binary()) for v in (r["pairs"], r["counts"], pack(new.astype(np.uint32))))], names=["part", "pairs", "counts", "tables"])
+
+    return state.mapInArrow(run, "part long, pairs binary, counts binary, tables binary")
+
+
 def part_tables(part: int, pairs: np.ndarray, counts: np.ndarray, history: list, theta: float, discount: float, keep: int):
     """Tables of each pair after each of the last `keep` sweeps of the recorded history."""
     u, w = pairs >> 16, pairs & 0xFFFF
@@ -192,9 +227,7 @@ def part_tables(part: int, pairs: np.ndarray, counts: np.ndarray, history: list,
     tables = (counts > 0).astype(np.int64)
     kept = []
     for k, at in enumerate(history):
-        # the recorded totals hold what this pair had in the last sweep
-        rest = np.maximum(at.tables[u[many]] - tables[many], 0)
-        tables[many] = seat(counts[many], at.word[w[many]], rest, theta, discount, np.random.default_rng((SEED, part, k)))
+        tables = one_sweep(part, k, u, w, counts, tables, many, at, theta, discount)
         if k >= len(history) - keep:
             kept.append(tables.copy())
     return kept
@@ -419,20 +452,19 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, part_tokens:
     discount = float(np.clip(n1 / (n1 + 2 * n2), 0.05, 0.95)) if n1 + n2 else 0.5
     rng = np.random.default_rng(SEED)
     history = [Totals(parent(by_word[:size], theta, rng, None), customers, tables)]
-    last = []
+    last, state = [], pairs.select("part", "pairs", "counts", F.lit(None).cast("binary").alias("tables"))
     for k in range(SWEEPS):
-        known = sc.broadcast(history)
-
-        def sweep(part, x, cnt, known=known):
-            t = part_tables(part, x, cnt, known.value, theta, discount, 1)[0].astype(float)
-            return [(x >> 16, t), (x & 0xFFFF, t)]
-
-        got = by_vocabulary(pairs, size, sweep)
+        known = sc.broadcast(history[-1])
+        before, state = state, cut(sweep(state, known, theta, discount, k), "seats")
+        if k:
+            drop_tables(spark, before)
+        got = by_vocabulary(state.select("part", "pairs", F.col("tables").alias("counts")), size, lambda p, x, t: [(x >> 16, t.astype(float)), (x & 0xFFFF, t.astype(float))])
         got = got + [np.zeros(size, np.int64)] * (2 - len(got))
         now = Totals(parent(got[1], theta, rng, None), customers, got[0])
         last.append(now)
         if k < SWEEPS - 1:
             history.append(now)
+    drop_tables(spark, state)
     model = sc.broadcast((history, last[-KEPT:]))
 
     def score_part(batches):
