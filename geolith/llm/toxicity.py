@@ -152,9 +152,9 @@ class Model:
 
 def summary(p: np.ndarray) -> np.ndarray:
     """The greatest marginal, and the expected number of toxic words among those of FLOOR or more: the many words that are all but surely
-    clean must not add up to something in a long text."""
-    top, total = (float(p.max()), float(p[p >= FLOOR].sum())) if len(p) else (0.0, 0.0)
-    return np.array([1.0, top, np.log1p(total)])
+    clean must not add up to something in a long text; their mean, which no length can raise, counts instead."""
+    top, total, mean = (float(p.max()), float(p[p >= FLOOR].sum()), float(p.mean())) if len(p) else (0.0, 0.0, 0.0)
+    return np.array([1.0, top, np.log1p(total), np.log(mean + 1e-5)])
 
 
 def fit(sample, bits: int = BITS, rounds: int = 40, rate: float = 0.3, l2: float = 1e-6) -> Model:
@@ -216,15 +216,15 @@ def fit(sample, bits: int = BITS, rounds: int = 40, rate: float = 0.3, l2: float
         sq["c"] += gc * gc
         bias -= rate * gc / np.sqrt(sq["c"])
     model = Model(own.astype(np.float32), before.astype(np.float32), after.astype(np.float32), bias, trans, 0.5)
-    tables, x = by_word(), np.zeros((len(docs), 3))
+    tables, x = by_word(), np.zeros((len(docs), 4))
     for ids, start, _, held in chunks:
         p = marginals(energies(tables, ids, start), start, trans)
         for k, part in zip(held, np.split(p, np.cumsum([len(docs[i]) for i in held])[:-1]), strict=True):
             x[k] = summary(part)
-    c = np.zeros(3)
+    c = np.zeros(4)
     for _ in range(30):  # Newton's steps, ridge for separable data
         q = 1 / (1 + np.exp(-np.clip(x @ c, -35, 35)))
-        h = (x * (q * (1 - q))[:, None]).T @ x + 1e-2 * np.eye(3)
+        h = (x * (q * (1 - q))[:, None]).T @ x + 1e-2 * np.eye(4)
         c -= np.linalg.solve(h, x.T @ (q - y) + 1e-2 * c)
     model.curve = c
     return model
