@@ -13,8 +13,19 @@ from ..operators import crs, network
 from .catalogue import boxes, corners, customers, query, r6, suppliers, tracks
 
 c = C.coordinate
-W, H = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-MID = (F.col("y0") + F.col("y1")) / 2
+
+
+# columns are made when asked for, as they need a session
+def width():
+    return F.col("x1") - F.col("x0")
+
+
+def height():
+    return F.col("y1") - F.col("y0")
+
+
+def middle():
+    return (F.col("y0") + F.col("y1")) / 2
 
 
 def _ring(*at):
@@ -102,7 +113,7 @@ def envelope_polygons(spark, sf):
 @query("select k, 1 + (x1-x0 > 4)::int as lines, 2*(x1-x0+y1-y0) + case when x1-x0 > 4 then 4 else 0 end as length from part_box")
 def linearized(spark, sf):
     """Rims of polygons as lines: of one ring, and of a shell with a hole."""
-    df = corners(spark, sf).withColumn("g", F.when(W > 4, holed()).otherwise(C.box("x0", "y0", "x1", "y1"))).withColumn("l", F.get(U.linearize("g"), F.lit(0)))
+    df = corners(spark, sf).withColumn("g", F.when(width() > 4, holed()).otherwise(C.box("x0", "y0", "x1", "y1"))).withColumn("l", F.get(U.linearize("g"), F.lit(0)))
     return df.select("k", F.size(C.line_strings_of("l")).alias("lines"), C.length("l").alias("length"))
 
 
@@ -122,7 +133,7 @@ def wkt_polygon(spark, sf):
 @query("select k, (x1-x0)*(y1-y0) - case when x1-x0 > 4 then 1 else 0 end as area, 3 as points, 27700 as srid from part_box")
 def binary_codecs(spark, sf):
     """Polygons with and without holes, and multi-points, through WKB and GeoPackage blobs."""
-    g = F.when(W > 4, holed()).otherwise(C.box("x0", "y0", "x1", "y1"))
+    g = F.when(width() > 4, holed()).otherwise(C.box("x0", "y0", "x1", "y1"))
     m = C.collect(F.array(C.point("x0", "y0"), C.point("x1", "y0"), C.point("x1", "y1")), "MultiPoint")
     df = U.spread(corners(spark, sf).withColumn("g", g).withColumn("m", m)).withColumn("w", U.from_wkb(U.to_wkb("g"))).withColumn("b", U.gpkg_decode(U.gpkg_encode("m", F.lit(27700))))
     return df.select("k", C.area("w").alias("area"), F.size(C.points_of("b")).alias("points"), C.srid("b").alias("srid"))
@@ -147,7 +158,7 @@ def normalized_wkt(spark, sf):
 def triangle_and_point(spark, sf):
     """Points in, on and beside a triangle that fill its envelope."""
     u, v = (F.col("k") % 5) / 4, F.expr("k div 5 % 3") / 2
-    df = U.spread(corners(spark, sf).withColumn("p", C.point(F.col("x0") + W * u, F.col("y0") + H * v)).withColumn("t", lower_left()))
+    df = U.spread(corners(spark, sf).withColumn("p", C.point(F.col("x0") + width() * u, F.col("y0") + height() * v)).withColumn("t", lower_left()))
     return df.select("k", U.intersects("t", "p").alias("meets"), U.touches("t", "p").alias("touch"), U.covers("t", "p").alias("covered"), U.contains("t", "p").alias("contained"), U.overlaps("t", "p").alias("overlap"))
 
 
@@ -175,7 +186,7 @@ def triangle_overlay(spark, sf):
   from (select *, x0 + (k % 7 - 3) * (x1-x0) as px, y0 + (k // 7 % 5 - 2) * (y1-y0) as py from part_box)) where px <> qx or py <> qy""")
 def closest_points_of_boxes(spark, sf):
     """The point of a box that is closest to one beside it, and how far that is."""
-    df = corners(spark, sf).withColumn("px", F.col("x0") + (F.col("k") % 7 - 3) * W).withColumn("py", F.col("y0") + (F.expr("k div 7 % 5") - 2) * H)
+    df = corners(spark, sf).withColumn("px", F.col("x0") + (F.col("k") % 7 - 3) * width()).withColumn("py", F.col("y0") + (F.expr("k div 7 % 5") - 2) * height())
     df = df.where("px < x0 or px > x1 or py < y0 or py > y1")
     df = U.spread(df.withColumn("p", C.point("px", "py")).withColumn("b", C.box("x0", "y0", "x1", "y1")))
     q = C.first_coordinate(F.get("two", F.lit(0)))
@@ -188,7 +199,7 @@ def interior_points(spark, sf):
     df = U.spread(corners(spark, sf).withColumn("g", C.box("x0", "y0", "x1", "y1")).withColumn("t", lower_left())).withColumn("p", U.interior_point("g")).withColumn("q", U.interior_point("t"))
     p, q = C.first_coordinate("p"), C.first_coordinate("q")
     box = (p["x"] > F.col("x0")) & (p["x"] < F.col("x1")) & (p["y"] > F.col("y0")) & (p["y"] < F.col("y1"))
-    u, v = (q["x"] - F.col("x0")) / W, (q["y"] - F.col("y0")) / H
+    u, v = (q["x"] - F.col("x0")) / width(), (q["y"] - F.col("y0")) / height()
     return df.select("k", box.alias("inside"), ((u > 0) & (v > 0) & (u + v < 1)).alias("in_triangle"))
 
 
@@ -211,7 +222,7 @@ def boundaries(spark, sf):
 def hull_areas(spark, sf):
     """The hull of an L bridges its notch; the four corners of a box have only the box."""
     mx = (F.col("x0") + F.col("x1")) / 2
-    ell = C.polygon(_ring(P00, P10, ("x1", MID), (mx, MID), (mx, "y1"), P01, P00))
+    ell = C.polygon(_ring(P00, P10, ("x1", middle()), (mx, middle()), (mx, "y1"), P01, P00))
     four = C.collect(F.array(*(C.point(x, y) for x, y in (P00, P10, P11, P01))), "MultiPoint")
     df = U.spread(corners(spark, sf).withColumn("l", ell).withColumn("f", four)).withColumn("h", U.convex_hull("l")).withColumn("v", U.concave_hull("f", F.lit(0.5)))
     return df.select("k", r6(C.area("h"), "hull"), r6(C.area("v"), "concave"))
@@ -240,7 +251,7 @@ def precision_boxes(spark, sf):
 
 @query("select k, 2 as n, round(w + h/2, 6) as first, round(h/2, 6) as second from (select k, x1-x0 as w, y1-y0 as h from part_box)")
 def split_lines(spark, sf):
-    df = corners(spark, sf).withColumn("s", U.split_line(C.line_string(_ring(P00, P10, P11)), C.point("x1", MID)))
+    df = corners(spark, sf).withColumn("s", U.split_line(C.line_string(_ring(P00, P10, P11)), C.point("x1", middle())))
     return df.select("k", F.size("s").alias("n"), r6(C.length(F.get("s", F.lit(0))), "first"), r6(C.length(F.get("s", F.lit(1))), "second"))
 
 
@@ -257,7 +268,7 @@ def merged_lines(spark, sf):
   from (select *, x1-x0 as w, y1-y0 as h from part_box)""")
 def cut_rims(spark, sf):
     """A closed line is cut as a line, a ring as a ring: the piece around its start is one. Uncut, a line comes back backwards and a ring as it is."""
-    level, away = C.line_string(_ring((F.col("x0") - 1, MID), (F.col("x1") + 1, MID))), C.line_string(_ring((F.col("x0") - 9, "y0"), (F.col("x0") - 9, "y1")))
+    level, away = C.line_string(_ring((F.col("x0") - 1, middle()), (F.col("x1") + 1, middle()))), C.line_string(_ring((F.col("x0") - 9, "y0"), (F.col("x0") - 9, "y1")))
     df = corners(spark, sf).withColumn("l", C.line_string(rim())).withColumn("r", C.linear_ring(rim())).withColumn("c", level).withColumn("f", away)
     df = df.select("*", U.cut_line("l", "c").alias("a"), U.cut_line("r", "c").alias("b"), U.cut_line("l", "f").alias("d"), U.cut_line("r", "f").alias("e"))
     part = lambda g, n: C.length(F.get(g, F.lit(n)))
@@ -269,7 +280,7 @@ def cut_rims(spark, sf):
 
 @query("select k, 2 as faces, round((x1-x0)*(y1-y0), 6) as area, round((x1-x0)*(y1-y0)/2, 6) as largest from part_box")
 def polygonized(spark, sf):
-    lines = C.collect(F.array(C.line_string(rim()), C.line_string(_ring(("x0", MID), ("x1", MID)))))
+    lines = C.collect(F.array(C.line_string(rim()), C.line_string(_ring(("x0", middle()), ("x1", middle())))))
     df = U.spread(corners(spark, sf).withColumn("g", lines)).withColumn("f", U.polygonize("g"))
     areas = F.transform("f", lambda g: C.area(g))
     return df.select("k", F.size("f").alias("faces"), r6(F.aggregate(areas, F.lit(0.0), lambda s, a: s + a), "area"), r6(F.array_max(areas), "largest"))
