@@ -125,7 +125,7 @@ def triangle_area(spark, sf):
     return corners(spark, sf).select("k", C.area(C.polygon(F.array(c("x0", "y0"), c("x1", "y0"), c("x0", "y1"), c("x0", "y0")))).alias("area"))
 
 
-@query("select k, (x1-x0)*(y1-y0) - 1 as area, 1 as n_holes, (x1-x0)*(y1-y0) as filled, 1.0 as hole_area from part_box where x1-x0 > 4")
+@query("select k, (x1-x0)*(y1-y0) - 1 as area, 1 as n_holes, (x1-x0)*(y1-y0) as filled, 1.0::double as hole_area from part_box where x1-x0 > 4")
 def holes_filled(spark, sf):
     x, y, c = F.col("x0") + 1, F.col("y0") + 1, C.coordinate
     hole = F.array(F.array(c(x, y), c(x + 1, y), c(x + 1, y + 1), c(x, y + 1), c(x, y)))
@@ -258,7 +258,7 @@ def brand_union(spark, sf):
 # ---- shapes ------------------------------------------------------------------------------------------------------------
 
 
-@query("""select user_id, round(coalesce(sum(sqrt((dx)*(dx)+(dy)*(dy))), 0), 6) as length, sum(1) + 1 as n_coords from (
+@query("""select user_id, round(coalesce(sum(sqrt((dx)*(dx)+(dy)*(dy))), 0), 6) as length, (sum(1) + 1)::bigint as n_coords from (
  select user_id, lead(cx) over (partition by user_id order by i, j) - cx as dx, lead(cy) over (partition by user_id order by i, j) - cy as dy from (
   select user_id, i, t.j, t.cx, t.cy from step, lateral (values (0, case when i = 1 or i = n then x else px + (x - px) * 0.75 end, case when i = 1 or i = n then y else py + (y - py) * 0.75 end, true),
    (1, x + (nx - x) * 0.25, y + (ny - y) * 0.25, i > 1 and i < n)) t(j, cx, cy, there) where t.there)) where dx is not null group by user_id""")

@@ -114,7 +114,7 @@ def gpkg_amended(spark, sf):
     return gpkg.read(spark, path, "spots").select("id", "x", "note")
 
 
-@query("select 1 as id, '12' as n, 1.0 as r union all select 2, 'twelve', 2.5 union all select 3, null, null")
+@query("select 1 as id, '12' as n, 1.0::double as r union all select 2, 'twelve', 2.5 union all select 3, null, null")
 def sqlite_values(spark, sf):
     """A plain SQLite table whose columns hold other kinds than they declare: values come as they are stored."""
     path = _file(spark, "plain.db")

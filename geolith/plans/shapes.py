@@ -255,7 +255,7 @@ def split_lines(spark, sf):
     return df.select("k", F.size("s").alias("n"), r6(C.length(F.get("s", F.lit(0))), "first"), r6(C.length(F.get("s", F.lit(1))), "second"))
 
 
-@query("select k, 2 as n, w + h as longest, 5.0 as shortest from (select k, x1-x0 as w, y1-y0 as h from part_box)")
+@query("select k, 2 as n, w + h as longest, 5.0::double as shortest from (select k, x1-x0 as w, y1-y0 as h from part_box)")
 def merged_lines(spark, sf):
     """Two lines that meet become one; a third is left alone."""
     line = lambda a, b: C.line_string(_ring(a, b))
@@ -294,7 +294,7 @@ def _apart(spark, sf):
     return suppliers(spark, sf).select("s", (F.col("s") * 1000.0).alias("x"))
 
 
-@query("select s_suppkey as s, 2 as edges, 20.0 as length, 1 as joined from supplier")
+@query("select s_suppkey as s, 2 as edges, 20.0::double as length, 1 as joined from supplier")
 def node_snapped(spark, sf):
     """Two lines whose ends miss each other by less than the tolerance are noded as one path."""
     a, b = F.col("x"), F.lit(0.0)
@@ -308,7 +308,7 @@ def node_snapped(spark, sf):
     return edges.groupBy(at.alias("s")).agg(F.count("*").cast("int").alias("edges"), r6(F.sum(C.length("geom")), "length"), (F.sum(met.cast("int")) == 2).cast("int").alias("joined"))
 
 
-@query("select s_suppkey as s, 3 as edges, 15.0 as length, 5.0 as connector from supplier")
+@query("select s_suppkey as s, 3 as edges, 15.0::double as length, 5.0::double as connector from supplier")
 def node_with_points(spark, sf):
     """A point beside a line is joined to the nearest place of it."""
     lines = _apart(spark, sf).select(F.col("s").alias("id"), C.line_string(F.array(c("x", F.lit(0)), c(F.col("x") + 10, F.lit(0)))).alias("geom"))
@@ -329,12 +329,12 @@ def _faces(how):
     return run
 
 
-@query("select s_suppkey as s, 6.0 as x, 1.0 as y from supplier")
+@query("select s_suppkey as s, 6.0::double as x, 1.0::double as y from supplier")
 def connect_nearest(spark, sf):
     return _faces(network.nearest)(spark, sf)
 
 
-@query("select s_suppkey as s, 5.0 as x, 1.0 as y from supplier")
+@query("select s_suppkey as s, 5.0::double as x, 1.0::double as y from supplier")
 def connect_faces(spark, sf):
     """The middle of a long face is preferred while hardly farther."""
     return _faces(network.face_connector(2, 1))(spark, sf)
@@ -350,7 +350,7 @@ def reproject_mercator(spark, sf):
     return df.select("c", F.round(p["x"], 3).alias("x"), F.round(p["y"], 3).alias("y"), C.srid("m").alias("srid"))
 
 
-@query("select 'national grid' as what, 1.72 as x, 52.66 as y, 4326 as srid union all select 'utm', 500000.0, 0.0, 32631")
+@query("select 'national grid' as what, 1.72::double as x, 52.66::double as y, 4326 as srid union all select 'utm', 500000.0, 0.0, 32631")
 def reproject_known(spark, sf):
     """Published points: one of the national grid in degrees, and a zone's origin."""
     grid = spark.range(1).select(F.lit("national grid").alias("what"), C.point(F.lit(651409.903), F.lit(313177.27)).alias("g")).select("what", crs.reproject("g", 27700, crs.srid_of("EPSG:4326")).alias("g"))
