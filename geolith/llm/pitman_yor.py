@@ -36,6 +36,8 @@ END, RARE = b"", 0
 VOCABULARY, PART_TOKENS, SWEEPS, KEPT, ROUNDS, SEED = 65_535, 3_000_000, 6, 4, 8, 11
 #: Up to so many customers a table count is drawn from its whole distribution, in blocks of so many numbers; beyond, by rejection.
 TABULATED, CELLS = 256, 1 << 18
+#: Points at which a density of table counts is taken.
+POINTS = 97
 #: Tables, as a multiple of customers ^ discount, up to which the series of _shared is sound: for discounts of STEEP or less, and above.
 REACH, REACH_STEEP, STEEP = 1.5, 0.9, 0.85
 #: Greatest values of _shared by (customers, discount), as the sweeps ask for the same ones.
@@ -66,48 +68,79 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y - np.log(steps)
 
 
+@lru_cache(maxsize=4)
+def _saddles(d: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log -log of the share tables / customers, rising; and there, of the saddlepoint m = log(1 - z): log -m, and the slope of log share by m."""
+    x = np.linspace(np.log(1e-14), np.log(700), 1 << 14)
+    m = -np.exp(x)
+    y, z = np.exp(m), -np.expm1(m)
+    near = m > -1e-3  # there by series, as the terms cancel
+    share = np.where(near, (1 - d) * m / 2 - (1 - d * d) * m * m / 24, np.log(-np.expm1(d * m)) - np.log(d) + (1 - d) * m - np.log(z))
+    slope = np.where(near, (1 - d) / 2 - (1 - d * d) * m / 12, d * np.exp(d * m) / np.expm1(d * m) + y / z + 1 - d)
+    return np.log(-share), x, slope
+
+
 def _log_seatings(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
-    """log of the probability that t table sizes (1 - (1 - z)^d) add up to c, by the saddlepoint; sound for many tables."""
-    share = np.clip(t / c, 1e-12, 1 - 1e-9)
-    low, high = np.full_like(c, -60.0), np.zeros_like(c)  # log of y = 1 - z; the mean size falls with it
-    for _ in range(50):
-        mid = (low + high) / 2
-        y = np.exp(mid)
-        under = -np.expm1(mid) * d * np.exp((d - 1) * mid) * share < -np.expm1(d * mid)
-        low, high = np.where(under, low, mid), np.where(under, mid, high)
-    mid = (low + high) / 2
-    y, z = np.exp(mid), np.maximum(-np.expm1(mid), 1e-300)
-    mean = 1 / share
-    spread = np.maximum(mean * (1 + z * (1 - d) / y - mean), 1e-12)
-    return t * np.log(-np.expm1(d * mid)) - c * np.log(z) - 0.5 * np.log(2 * np.pi * t * spread)
+    """log of the probability that t table sizes (1 - (1 - z)^d) add up to c, by the saddlepoint; sound for many tables.
+
+    The saddlepoint is looked up: the exponent is flat there, so that its error counts by its square only. What the saddlepoint's
+    factor is off by where nearly all sizes are one is Stirling's error for the factorial of the rest.
+    """
+    shares, places, slopes = _saddles(d)
+    k = np.maximum(c - t, 1e-3)
+    share = np.log(-np.log1p(-k / c))
+    m = -np.exp(np.interp(share, shares, places))
+    log_z, log_k = np.log(-np.expm1(m)), np.log(k)
+    spread = np.log(c * np.interp(share, shares, slopes)) + log_z - m
+    return t * np.log(-np.expm1(d * m)) - c * log_z - 0.5 * (spread - log_k) + k * log_k - k - _log_gamma(k + 1)
+
+
+def _peaks(c: np.ndarray, a: np.ndarray, base: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """Where the table counts of _crowded are likeliest, up to about one, and the width of the peak: by halving, over the saddlepoints."""
+    shares, places, slopes = _saddles(d)
+    low, high = np.zeros(len(c), np.int64), np.full(len(c), len(places) - 1)
+    log_base, rows, gains = np.log(base), np.exp(-np.exp(shares)), np.log(-np.expm1(-d * np.exp(places)))
+    while np.any(high - low > 1):  # the weight falls with the tables at low, and rises at high
+        mid = (low + high) // 2
+        t = c * rows[mid]
+        rises = gains[mid] + log_base + np.log((a + t - 0.5) / (t + 0.5)) > 0
+        low, high = np.where(rises, low, mid), np.where(rises, mid, high)
+    t = c * rows[low]
+    y = np.exp(-d * np.exp(places[low]))
+    bend = -d * y / (1 - y) / (t * slopes[low]) + 1 / (a + t) - 1 / (t + 1)
+    peak = (t + c * rows[high]) / 2
+    return np.maximum(peak, 1.0), np.clip(1 / np.sqrt(np.maximum(-bend, 1e-12)), 0.3, np.maximum(peak, 1.0))
 
 
 def _crowded(c: np.ndarray, a: np.ndarray, base: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Table counts of pairs with many customers and tables: their distribution, from the saddlepoint, at points around its peak, and
-    a draw from the lines between them. The work is the same whatever the customers."""
-    weight = lambda i, t: _log_seatings(c[i], t, d) + t * np.log(base[i]) + _log_gamma(a[i] + t) - _log_gamma(t + 1)
-    every = np.arange(len(c))
-    low, high = np.zeros(len(c)), np.log(c - 1e-3 * (c > 1))
-    for _ in range(60):  # the peak, by thirds of a logarithm
-        one, two = low + (high - low) / 3, high - (high - low) / 3
-        left = weight(every, np.exp(one)) > weight(every, np.exp(two))
-        low, high = np.where(left, low, one), np.where(left, two, high)
-    peak = np.exp((low + high) / 2)
-    h = np.maximum(0.01 * peak, 1e-3)
-    bend = weight(every, np.minimum(peak + h, c - 1e-3)) - 2 * weight(every, peak) + weight(every, np.maximum(peak - h, 1.0))
-    width = np.clip(h / np.sqrt(np.maximum(-bend, 1e-12)), 0.3, peak)
-    lo, hi = np.maximum(peak - 7 * width, 0.5), np.minimum(peak + 7 * width, c + 0.5)
-    at = lo[:, None] + (hi - lo)[:, None] * np.linspace(0, 1, 97)
-    i = np.repeat(every, 97)
-    x = weight(i, np.clip(at.ravel(), 1.0, c[i] - 1e-3)).reshape(at.shape)
+    """Table counts of pairs with many customers and tables: their distribution, from the saddlepoint, at points around its peak; a draw
+    from the points where these are whole numbers, and from the lines between them where it is wide. The work is the same whatever the customers."""
+    every, half = np.arange(len(c)), POINTS // 2
+    peak, width = _peaks(c, a, base, d)
+    narrow = 7 * width <= half - 1
+    lo = np.where(narrow, np.rint(peak) - half, np.maximum(peak - 7 * width, 0.5))
+    hi = np.where(narrow, np.rint(peak) + half, np.minimum(peak + 7 * width, c + 0.5))
+    at = lo[:, None] + (hi - lo)[:, None] * np.linspace(0, 1, POINTS)
+    at[narrow] = np.rint(at[narrow])
+    t, (c_, a_, base_) = np.clip(at, 1.0, c[:, None]), (v[:, None] for v in (c, a, base))
+    x = _log_seatings(c_, t, d) + t * np.log(base_) + _log_gamma(a_ + t) - _log_gamma(t + 1)
+    x[narrow[:, None] & (at != t)] = -np.inf
     x = np.exp(x - x.max(axis=1, keepdims=True))
-    sums = np.concatenate((np.zeros((len(c), 1)), np.cumsum((x[:, 1:] + x[:, :-1]) / 2, axis=1)), axis=1)
-    u = rng.random(len(c)) * sums[:, -1]
-    k = np.clip((sums <= u[:, None]).sum(axis=1) - 1, 0, 95)
+    out = np.empty(len(c))
+    sums = np.cumsum(x[narrow], axis=1)
+    k = (sums <= rng.random((len(sums), 1)) * sums[:, -1:]).sum(axis=1)
+    out[narrow] = at[narrow][np.arange(len(sums)), k]
+    wide = ~narrow
+    x, at, step = x[wide], at[wide], ((hi - lo) / (POINTS - 1))[wide]
+    sums = np.concatenate((np.zeros((len(x), 1)), np.cumsum((x[:, 1:] + x[:, :-1]) / 2, axis=1)), axis=1)
+    u = rng.random(len(x)) * sums[:, -1]
+    k = np.clip((sums <= u[:, None]).sum(axis=1) - 1, 0, POINTS - 2)
     # within a step the density is a line: its distribution function is a parabola
+    every = every[: len(x)]
     p, q, rest = x[every, k], x[every, k + 1], u - sums[every, k]
     f = 2 * rest / np.maximum(p + np.sqrt(np.maximum(p * p + 2 * rest * (q - p), 0)), 1e-300)
-    return np.clip(np.rint(at[every, k] + np.clip(f, 0, 1) * (hi - lo) / 96), 1, c).astype(np.int64)
+    out[wide] = at[every, k] + np.clip(f, 0, 1) * step
+    return np.clip(np.rint(out), 1, c).astype(np.int64)
 
 
 def _shared(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
@@ -170,8 +203,9 @@ def seat(c: np.ndarray, base: np.ndarray, rest: np.ndarray, theta: float, d: flo
         far = 1 + (a[many] + 1) * base[many] / np.maximum(1 - base[many], 1e-12)
         few = far + 8 * np.sqrt(far / np.maximum(1 - base[many], 1e-12)) < (REACH if d <= STEEP else REACH_STEEP) * c[many] ** d
         for own, draw in ((many[few], _roomy), (many[~few], _crowded)):
-            if len(own):
-                t[own] = draw(c[own].astype(float), a[own], base[own], d, rng)
+            for i in np.split(own, range(CELLS // POINTS, len(own), CELLS // POINTS)):
+                if len(i):
+                    t[i] = draw(c[i].astype(float), a[i], base[i], d, rng)
     return t
 
 

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -37,3 +39,30 @@ def test_hot_pairs_keep_no_start():
     at = py.Totals(np.full(2, 0.02), np.full(1, c), np.full(1, 20_001))
     a, b = py.part_tables(0, np.zeros(n, np.uint32), np.full(n, c), [at, at], 1.0, 0.7, 2)
     assert abs(np.corrcoef(a, b)[0, 1]) < 0.3
+
+
+@pytest.mark.parametrize("c, base, tables, d", [(300, 0.02, 1_000_000, 0.7), (1000, 0.05, 300_000, 0.95), (500, 1 / 65_000, 600_000, 0.42), (3000, 0.1, 10_000, 0.1), (2000, 0.6, 900, 0.7)])
+def test_crowded_pairs_have_their_distribution(c, base, tables, d):
+    """Also where nearly every customer has a table of its own."""
+    n = 20_000
+    got = py._crowded(np.full(n, float(c)), np.full(n, 1 / d + tables), np.full(n, base), d, np.random.default_rng(4))
+    mean, var = exact(c, base, tables, 1.0, d)
+    assert got.min() >= 1 and got.max() <= c
+    assert abs(got.mean() - mean) < 0.05 * np.sqrt(var) and abs(got.var() - var) < 0.05 * var
+
+
+def test_crowded_draws_are_cheap():
+    """The parent's draws run on the driver alone, some 80,000 in each sweep: no search at every point of a density."""
+    n, rng = 2000, np.random.default_rng(4)
+    c, x = rng.integers(300, 60_000, n).astype(float), rng.random((n, py.POINTS))
+
+    def seconds(work):
+        best = []
+        for _ in range(3):
+            start = time.process_time()
+            work()
+            best.append(time.process_time() - start)
+        return min(best)
+
+    draws = seconds(lambda: py._crowded(c, np.full(n, 2e6), np.full(n, 1 / 65_000), 0.4, rng))
+    assert draws < 350 * seconds(lambda: np.exp(x))
