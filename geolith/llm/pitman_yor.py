@@ -245,7 +245,7 @@ def sweep(state: DataFrame, known, theta: float, discount: float, k: int) -> Dat
         import pyarrow as pa
 
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _packed(batch):
                 x, counts = unpack(r["pairs"], np.uint32), unpack(r["counts"], np.uint32).astype(np.int64)
                 tables = (counts > 0).astype(np.int64) if r["tables"] is None else unpack(r["tables"], np.uint32).astype(np.int64)
                 new = one_sweep(r["part"], k, x >> 16, x & 0xFFFF, counts, tables, np.flatnonzero(counts >= 2), known.value, theta, discount)
@@ -302,6 +302,12 @@ def row_key(doc_id, text: bytes) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(text, doc_id & 0xFFFFFFFFFFFFFFFF if doc_id is not None else 1)).view(np.int64))
 
 
+def _packed(batch):
+    """Rows one at a time, as each may hold a part."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _rows(batch):
     for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
         yield doc_id, text, text.lower().split()
@@ -349,15 +355,13 @@ def frequent_words(counts: DataFrame, most: int):
     return kept.toPandas().sort_values(["n", "word"], ascending=[False, True], kind="stable")
 
 
-def deal_pairs(docs: DataFrame, ids, parts: int) -> DataFrame:
-    """One row a part: pairs (context << 16 | word, sorted), train counts, occurrences of each, and the rows they are in. A cut table."""
+def deal_pairs(lines: DataFrame, end: int, parts: int) -> DataFrame:
+    """key, held_out, ids (16 bits a word, and end) -> one row a part: pairs (context << 16 | word, sorted), train counts, occurrences of each,
+    and the rows they are in. A cut table."""
 
     def run(batches):
         import pyarrow as pa
 
-        get = ids.value.get
-        end = get(END, RARE)
-
         def emit(keys, train, tokens, owner):
             pair, doc = np.concatenate(tokens), np.concatenate(owner)
             part = ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)
@@ -374,12 +378,14 @@ def deal_pairs(docs: DataFrame, ids, parts: int) -> DataFrame:
 
         keys, train, tokens, owner, size = [], [], [], [], 0
         for batch in slices(batches):
-            for doc_id, text, words in _rows(batch):
-                own = np.array([end, *[get(w, RARE) for w in words], end], np.uint32)
-                tokens.append(own[:-1] << np.uint32(16) | own[1:])
-                owner.append(np.full(len(own) - 1, len(keys), np.int32))
-                keys.append(row_key(doc_id, text))
-                train.append(not held_out(doc_id))
+            for key, held, ids in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                own = np.frombuffer(ids, np.uint16).astype(np.uint32)
+                own[1:] |= own[:-1] << np.uint32(16)
+                own[0] |= np.uint32(end << 16)
+                tokens.append(own)
+                owner.append(np.full(len(own), len(keys), np.int32))
+                keys.append(key)
+                train.append(not held)
                 size += len(own)
                 if size > 1_500_000 or len(keys) >= 65_000:
                     yield emit(keys, train, tokens, owner)
@@ -391,7 +397,7 @@ def deal_pairs(docs: DataFrame, ids, parts: int) -> DataFrame:
         import pyarrow as pa
 
         pair, doc, train, keys, at = [], [], [], [], 0
-        for r in table.to_pylist():
+        for r in _packed(table):
             own = np.frombuffer(r["keys"], np.int64)
             pair.append(unpack(r["pairs"], np.uint32))
             doc.append(unpack(r["docs"], np.uint16).astype(np.uint32) + np.uint32(at))
@@ -407,7 +413,7 @@ def deal_pairs(docs: DataFrame, ids, parts: int) -> DataFrame:
         row = [int(key[0].as_py()), pack(pair[first]), pack(counts.astype(np.uint32)), pack(times.astype(np.uint32)), pack(doc), np.concatenate(keys).tobytes()]
         return pa.table({n: pa.array([x], pa.int64() if n == "part" else pa.binary()) for n, x in zip(("part", "pairs", "counts", "times", "docs", "keys"), row, strict=True)})
 
-    dealt = docs.mapInArrow(run, "part long, pairs binary, docs binary, keys binary, train binary")
+    dealt = lines.select("key", "held_out", "ids").mapInArrow(run, "part long, pairs binary, docs binary, keys binary, train binary")
     return cut(dealt.groupBy("part").applyInArrow(merge, "part long, pairs binary, counts binary, times binary, docs binary, keys binary"), "pairs")
 
 
@@ -418,7 +424,7 @@ def by_vocabulary(parts: DataFrame, size: int, values) -> list[np.ndarray]:
         import pyarrow as pa
 
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _packed(batch):
                 found = values(r["part"], unpack(r["pairs"], np.uint32), unpack(r["counts"], np.uint32).astype(np.int64))
                 for k, (by, x) in enumerate(found):
                     sums = np.bincount(by, x, size)
@@ -454,29 +460,29 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, part_tokens:
     c[RARE] = rare_n
     held = sc.broadcast(ids)
 
-    # every document: what is known without the pairs, and its rare words
+    # every document: what is known without the pairs, its rare words, and its words by number, so that texts are read no more
     def outline(batches):
         import pyarrow as pa
 
         get = held.value.get
         end = get(END, RARE)
         for batch in slices(batches):
-            out = [[] for _ in range(7)]
+            out = [[] for _ in range(8)]
             for doc_id, text, words in _rows(batch):
                 own = [*[get(w, RARE) for w in words], end]
                 a = np.array(own, np.int64)
                 rare = [w for w, i in zip(words, own, strict=False) if not i]
                 if not end:
                     rare.append(END)
-                for col, x in zip(out, (row_key(doc_id, text), doc_id, held_out(doc_id), len(own), int(np.count_nonzero(a)), float(log_base[a[a > 0]].sum()), rare), strict=True):
+                for col, x in zip(out, (row_key(doc_id, text), doc_id, held_out(doc_id), len(own), int(np.count_nonzero(a)), float(log_base[a[a > 0]].sum()), rare, a.astype(np.uint16).tobytes()), strict=True):
                     col.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["key", "doc_id", "held_out", "n_tokens", "known", "base", "rare"])
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["key", "doc_id", "held_out", "n_tokens", "known", "base", "rare", "ids"])
 
-    lines = cut(docs.mapInArrow(outline, "key long, doc_id long, held_out boolean, n_tokens long, known long, base double, rare array<binary>"), "outline")
+    lines = cut(docs.mapInArrow(outline, "key long, doc_id long, held_out boolean, n_tokens long, known long, base double, rare array<binary>, ids binary"), "outline")
     tokens = lines.agg(F.sum("n_tokens")).first()[0] or 0
     shares = max(1, -(-tokens // part_tokens))
-    pairs = deal_pairs(docs, held, shares)
+    pairs = deal_pairs(lines, ids.get(END, RARE), shares)
 
     # first totals: one table a pair, the parent by plain counts
     starts = by_vocabulary(pairs, size, lambda p, x, k: [(x >> 16, k), (x >> 16, (k > 0).astype(float)), (x & 0xFFFF, (k > 0).astype(float)), (np.minimum(k, 3).astype(np.int64), np.ones(len(k)))])
@@ -506,7 +512,7 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, part_tokens:
 
         history, last = model.value
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _packed(batch):
                 x, cnt = unpack(r["pairs"], np.uint32), unpack(r["counts"], np.uint32).astype(np.int64)
                 times, doc, keys = unpack(r["times"], np.uint32), unpack(r["docs"], np.uint32), np.frombuffer(r["keys"], np.int64)
                 u, w = x >> 16, x & 0xFFFF
@@ -538,7 +544,7 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, part_tokens:
     one = F.log10(F.coalesce("c", F.lit(0)) + 1)
     rare = words.groupBy("key").agg(F.sum(one).alias("logs"), F.count("*").alias("rares"), F.count("c").alias("rare_known"))
     # rows that repeat id and text share a key, and their sums are those of all of them
-    rows = lines.drop("rare").groupBy("key", "doc_id", "held_out", "n_tokens", "known").agg(F.max("base").alias("base"), F.count("*").alias("m"))
+    rows = lines.drop("rare", "ids").groupBy("key", "doc_id", "held_out", "n_tokens", "known").agg(F.max("base").alias("base"), F.count("*").alias("m"))
     m = F.col("m")
     logs, rares = F.coalesce("logs", F.lit(0.0)) / m, F.coalesce("rares", F.lit(0)) / m
     whole = rows.join(seated, "key").join(rare, "key", "left").select(

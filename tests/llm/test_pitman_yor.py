@@ -1,6 +1,7 @@
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from geolith.llm import pitman_yor as py
@@ -66,3 +67,23 @@ def test_crowded_draws_are_cheap():
 
     draws = seconds(lambda: py._crowded(c, np.full(n, 2e6), np.full(n, 1 / 65_000), 0.4, rng))
     assert draws < 350 * seconds(lambda: np.exp(x))
+
+
+def test_texts_are_read_twice(spark):
+    """Once for the counts of words, and once for their numbers, which pairs are dealt from."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(k, f"the {k % 7} of the {k % 3}") for k in range(60)] + [(None, None), (7, "the")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(counted, "doc_id long, text string")
+    assert py.score_documents(docs).count() == len(rows)
+    assert read.value == 2 * len(rows)
+
+
+def test_large_rows_are_taken_one_at_a_time():
+    batch = pa.RecordBatch.from_pylist([{"part": k, "pairs": b"x" * k} for k in range(3)])
+    assert list(py._packed(batch)) == batch.to_pylist() and list(py._packed(pa.Table.from_batches([batch, batch]))) == 2 * batch.to_pylist()
