@@ -1,8 +1,8 @@
 """GeoPackage files: a data source by rowid ranges, a sink, amending in place, and the catalogue as small DataFrames.
 
 The file has to lie on a path that driver and executors share, as SQLite reads plain files only. Reading is parallel, one
-immutable connection a task. Writing has one writer, as SQLite does: geometries are encoded by all executors, and the driver streams
-the rows partition by partition into batches of 4000, so that it never holds more than one partition.
+immutable connection a task. Writing has one writer, as SQLite does: geometries are encoded by all executors, and one task of theirs puts
+the rows in, in batches of 4000 and in one transaction. None of them passes through the driver.
 """
 
 from __future__ import annotations
@@ -20,12 +20,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Greate
 from ..functions import codec, shapes
 from ..functions import columns as C
 from ..functions import udfs as U
-from ..functions.types import GEOM
+from ..functions.types import ENVELOPE, GEOM
 from ..operators import crs, merge
 from ..shared import shared_root
 
 # Fixed values of the format: the application id and version, and the definitions of its tables.
 APPLICATION_ID, USER_VERSION, BATCH = 1196444487, 10200, 4000
+BOX = ("_xmin", "_ymin", "_xmax", "_ymax")
 METADATA = {
     "gpkg_spatial_ref_sys": "srs_name TEXT NOT NULL, srs_id INTEGER NOT NULL PRIMARY KEY, organization TEXT NOT NULL, organization_coordsys_id INTEGER NOT NULL, definition TEXT NOT NULL, description TEXT",
     "gpkg_contents": "table_name TEXT NOT NULL PRIMARY KEY, data_type TEXT NOT NULL, identifier TEXT UNIQUE, description TEXT DEFAULT '', last_change DATETIME NOT NULL DEFAULT (strftime('%Y-%m-%dT%H:%M:%fZ','now')), min_x DOUBLE, min_y DOUBLE, max_x DOUBLE, max_y DOUBLE, srs_id INTEGER, CONSTRAINT fk_gc_r_srs_id FOREIGN KEY (srs_id) REFERENCES gpkg_spatial_ref_sys(srs_id)",
@@ -431,31 +432,89 @@ def _drop(conn, table: str) -> None:
 
 
 def _encoded(df: DataFrame, columns: dict[str, dict], srid: int) -> DataFrame:
-    """Geometries as blobs, everything else as SQLite's own kinds; and the box of each geometry."""
+    """Geometries as blobs, everything else as SQLite's own kinds; then the row's place and the box of its geometry."""
     out, geom = [], next((n for n, s in columns.items() if s["geometry"]), None)
     for n in columns:
         kind, c = df.schema[n].dataType, F.col(f"`{n}`")
         plain = isinstance(kind, (T.BooleanType, T.DoubleType, T.FloatType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BinaryType, T.StringType))
         out.append(U.gpkg_encode(c, F.lit(srid)).alias(n) if n == geom else c if plain else (F.to_json(c) if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)) else c.cast("string")).alias(n))
-    return df.select(*out, (C.envelope(geom) if geom else F.lit(None)).alias("_box"))
-
-
-def _load(conn, table: str, df: DataFrame, names: list[str], batch: int) -> list[float] | None:
-    """Rows in batches, partition by partition; the extent of the geometries."""
-    sql = f"INSERT INTO {quote(table)} ({', '.join(map(quote, names))}) VALUES ({', '.join('?' * len(names))})"
-    extent, held = None, []
-    for r in df.toLocalIterator(prefetchPartitions=True):
-        held.append([bytes(v) if isinstance(v, bytearray) else v for v in r[:-1]])
-        if (b := r[-1]) is not None:
-            e = extent or [b.xmin, b.ymin, b.xmax, b.ymax]
-            extent = [min(e[0], b.xmin), min(e[1], b.ymin), max(e[2], b.xmax), max(e[3], b.ymax)]
-        if len(held) >= batch:
-            conn.executemany(sql, held)
-            held = []
-    conn.executemany(sql, held)
+    df = df.withColumn("_place", F.monotonically_increasing_id())
+    box = C.envelope(geom) if geom else F.lit(None).cast(ENVELOPE)
+    return (U.spread(df) if geom else df).select(*out, "_place", box.alias("_box"))
+
+
+def _load(conn, table: str, batches, names: list[str], geom: str | None, batch: int) -> list[float] | None:
+    """Arrow batches of encoded rows into the table and its spatial index; the extent of the geometries."""
+    key, tree = next((r["name"] for r in table_info(conn, table) if r["pk"]), None), geom and f"rtree_{table}_{geom}"
+    fast = geom is not None and key is not None and key not in names and has_table(conn, tree)
+    trigger = fast and rows(conn, "SELECT sql FROM sqlite_master WHERE type = 'trigger' AND name = ?", f"{tree}_insert")
+    if trigger:  # boxes are known here, so the trigger need not take every blob apart again; ids are given out as SQLite would
+        conn.execute(f"DROP TRIGGER {quote(f'{tree}_insert')}")
+        used = [r["seq"] for r in rows(conn, "SELECT seq FROM sqlite_sequence WHERE name = ?", table)] if has_table(conn, "sqlite_sequence") else []
+        fid = max([*used, conn.execute(f"SELECT coalesce(max(rowid), 0) FROM {quote(table)}").fetchone()[0]])
+    into = [key, *names] if trigger else names
+    sql = f"INSERT INTO {quote(table)} ({', '.join(map(quote, into))}) VALUES ({', '.join('?' * len(into))})"
+    extent = None
+    for whole in batches:
+        for start in range(0, whole.num_rows, batch):
+            part = whole.slice(start, batch)
+            values = [part.column(n).to_pylist() for n in names]
+            boxes = list(zip(*(part.column(n).to_pylist() for n in BOX), strict=True))
+            if trigger:
+                ids = range(fid + 1, fid + 1 + part.num_rows)
+                fid += part.num_rows
+                values = [ids, *values]
+            conn.executemany(sql, zip(*values, strict=True))
+            there = [b for b in boxes if b[0] is not None]
+            if trigger:
+                conn.executemany(f"INSERT OR REPLACE INTO {quote(tree)} VALUES (?, ?, ?, ?, ?)", ((i, b[0], b[2], b[1], b[3]) for i, b in zip(ids, boxes, strict=True) if b[0] is not None))
+            if there:
+                own = [min(b[0] for b in there), min(b[1] for b in there), max(b[2] for b in there), max(b[3] for b in there)]
+                extent = own if extent is None else [min(extent[0], own[0]), min(extent[1], own[1]), max(extent[2], own[2]), max(extent[3], own[3])]
+    if trigger:
+        conn.execute(trigger[0]["sql"])
     return extent
 
 
+def _write_in_task(encoded: DataFrame, path: str, table: str, names: list[str], geom: str | None, batch: int, prepare, join_old: bool) -> None:
+    """prepare(conn), then the rows in order and the table's extent, in one transaction in one task. The transaction leaves a mark, so that a task that runs again
+    after it was settled does nothing; the driver takes the mark away."""
+    mark = f"geolith_{uuid.uuid4().hex}"
+
+    def put(batches):
+        conn = writing(path)
+        try:
+            conn.execute("BEGIN IMMEDIATE")
+            if not has_table(conn, mark):
+                prepare(conn)
+                before = join_old and bool(rows(conn, f"SELECT 1 FROM {quote(table)} LIMIT 1"))
+                _set_extent(conn, table, _load(conn, table, batches, names, geom, batch), before)
+                conn.execute(f"CREATE TABLE {mark} (x)")
+                conn.execute("COMMIT")
+        finally:
+            _close(conn)
+
+    def run(batches):
+        import pyarrow as pa
+
+        put(batches)
+        yield pa.RecordBatch.from_pydict({"done": pa.array([True])})
+
+    one = encoded.select(*(f"`{n}`" for n in names), "_place", *(F.col("_box")[n.removeprefix("_")].alias(n) for n in BOX)).repartition(1).sortWithinPartitions("_place")
+    one.mapInArrow(run, "done boolean").collect()
+    conn = writing(path)
+    try:
+        there = has_table(conn, mark)
+        conn.execute(f"DROP TABLE IF EXISTS {mark}")
+    finally:
+        _close(conn)
+    if not there:  # no rows, and so no task
+        put(())
+        conn = writing(path)
+        conn.execute(f"DROP TABLE IF EXISTS {mark}")
+        _close(conn)
+
+
 def write(df: DataFrame, path: str, table: str, schema: dict | None = None, batch: int = BATCH, spatial_index: bool = False, if_exists: str = "append", constraints: dict | None = None, srid: int = 27700) -> None:
     """Write a table. schema: column -> type, srid, not_null, primary_key, foreign_key, title and so on; columns it lacks are left out. if_exists: append,
     delete-rows or drop-table. All of it is one transaction."""
@@ -464,10 +523,8 @@ def write(df: DataFrame, path: str, table: str, schema: dict | None = None, batc
     columns = specs(df, schema)
     geom = next((n for n, s in columns.items() if s["geometry"]), None)
     srid = columns[geom].get("srid", srid) if geom else srid
-    encoded = _encoded(df, columns, srid)
-    conn = writing(path)
-    try:
-        conn.execute("BEGIN")
+
+    def prepare(conn):
         bootstrap(conn)
         if if_exists == "drop-table":
             _drop(conn, table)
@@ -484,12 +541,8 @@ def write(df: DataFrame, path: str, table: str, schema: dict | None = None, batc
         elif any(s.get("primary_key") and s["type"] == "INTEGER" for s in columns.values()):
             conn.execute("INSERT OR IGNORE INTO gpkg_contents (table_name, data_type, identifier) VALUES (?, 'attributes', ?)", (table, table))
         write_schema_metadata(conn, table, columns, constraints)
-        before = bool(rows(conn, f"SELECT 1 FROM {quote(table)} LIMIT 1"))
-        extent = _load(conn, table, encoded, list(columns), batch)
-        _set_extent(conn, table, extent, before)
-        conn.execute("COMMIT")
-    finally:
-        _close(conn)
+
+    _write_in_task(_encoded(df, columns, srid), path, table, list(columns), geom, batch, prepare, True)
 
 
 def _set_extent(conn, table: str, extent, join_old: bool) -> None:
@@ -533,20 +586,16 @@ def amend(path: str, table: str, updates: DataFrame, key: str | None = None, met
     encoded = _encoded(merged, columns, spatial["srid"] if spatial else 0)
     encoded.write.parquet(held)
     encoded = spark.read.schema(encoded.schema).parquet(held)
-    conn = writing(path)
-    try:
-        conn.execute("BEGIN")
+
+    def prepare(conn):
         conn.execute(f"DELETE FROM {quote(table)}")
         there = {r["name"] for r in table_info(conn, table)}
         for n in [n for n in there if n not in columns and n != pk]:
             conn.execute(f"ALTER TABLE {quote(table)} DROP COLUMN {quote(n)}")
         for n in [n for n in columns if n not in there]:
             conn.execute(f"ALTER TABLE {quote(table)} ADD COLUMN {quote(n)} {columns[n]['type']}")
-        extent = _load(conn, table, encoded, list(columns), BATCH)
-        _set_extent(conn, table, extent, False)
-        conn.execute("COMMIT")
-    finally:
-        _close(conn)
+
+    _write_in_task(encoded, path, table, list(columns), name, BATCH, prepare, False)
 
 
 def header(blob) -> dict:

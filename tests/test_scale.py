@@ -67,3 +67,27 @@ def test_mixed_shapes_meet_as_the_kernel_says(spark):
     for name in joins.PREDICATES:
         got = sorted((r.id, r.id_right) for r in joins.spatial_join(df, df, name).select("id", "id_right").collect())
         assert got == [(i, j) for i in sorted(gs) for j in sorted(gs) if tp.predicate(name, gs[i], gs[j])]
+
+
+def test_rows_of_a_geopackage_do_not_pass_through_the_driver(spark, tmp_path, monkeypatch):
+    """Rows in their order, ids and index as the trigger would have them, written again over old ones, and none at all."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from geolith.sources import gpkg
+
+    def no(*_, **__):
+        raise AssertionError("rows sent to the driver")
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", no)
+    path = str(tmp_path / "a.gpkg")
+    df = spark.range(50).repartition(5).select("id", F.when(F.col("id") % 7 > 0, C.box(F.col("id"), F.col("id") * 2, F.col("id") + 3, F.col("id") * 2 + 1)).alias("geom"))
+    for n, rows in ((1, 50), (2, 100)):
+        gpkg.write(df, path, "boxes", spatial_index=True)
+        with gpkg.reading(path) as conn:
+            ids = [r["fid"] for r in gpkg.rows(conn, "SELECT fid FROM boxes ORDER BY rowid")]
+            held = gpkg.rows(conn, "SELECT b.id, t.minx, t.maxx, t.miny, t.maxy, b.geom IS NULL AS none FROM boxes b LEFT JOIN rtree_boxes_geom t ON t.id = b.fid")
+            assert ids == list(range(1, rows + 1)) and len(gpkg.rows(conn, "SELECT 1 FROM sqlite_master WHERE type = 'trigger'")) == 6
+            assert not gpkg.rows(conn, "SELECT 1 FROM sqlite_master WHERE name LIKE 'geolith%'")
+        assert all((r["minx"], r["maxx"], r["miny"], r["maxy"]) == ((None,) * 4 if r["none"] else (r["id"], r["id"] + 3, r["id"] * 2, r["id"] * 2 + 1)) for r in held)
+    gpkg.write(df.limit(0), path, "hollow")
+    assert gpkg.table_names(path) == ["boxes", "hollow"]
