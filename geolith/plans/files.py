@@ -140,15 +140,28 @@ def gpkg_validated(spark, sf):
     return spark.createDataFrame([(len(good), len(bad), name)], "failed int, broken int, broken_id string")
 
 
+def _collections(batches):
+    """Lines of a file that is one feature collection, so that no task and no row holds all features."""
+    import pyarrow as pa
+
+    first = True
+    yield pa.RecordBatch.from_pydict({"value": ['{"type":"FeatureCollection","features":[']})
+    for b in batches:
+        if b.num_rows:
+            texts = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_pydict({"value": [*(texts[:1] if first else ["," + texts[0]]), *("," + t for t in texts[1:])]})
+            first = False
+    yield pa.RecordBatch.from_pydict({"value": ["]}"]})
+
+
 @query("select k, brand, (x1-x0)*(y1-y0) as area, 4326 as srid from part_box")
 def geojson_features(spark, sf):
-    """A feature collection that Spark writes, read back with its properties."""
+    """Feature collections that Spark writes, one a task, read back with their properties."""
     folder = f"{local_folder(spark, 'files-' + uuid.uuid4().hex)}/json"
     n = lambda v: F.col(v).cast("string")
     ring = F.concat_ws(",", *(F.concat(F.lit("["), n(x), F.lit(","), n(y), F.lit("]")) for x, y in (("x0", "y0"), ("x0", "y1"), ("x1", "y1"), ("x1", "y0"), ("x0", "y0"))))
     feature = F.concat(F.lit('{"type":"Feature","geometry":{"type":"Polygon","coordinates":[['), ring, F.lit(']]},"properties":'), F.to_json(F.struct("k", "brand")), F.lit("}"))
-    whole = boxes(spark, sf).select(feature.alias("f")).agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("f"), ","), F.lit("]}")).alias("value"))
-    whole.write.text(f"file://{folder}")
+    U.spread(boxes(spark, sf).select(feature.alias("f"))).mapInArrow(_collections, "value string").write.text(f"file://{folder}")
     got = geojson.read(spark, f"file://{folder}")
     return got.select(F.col("k").cast("long").alias("k"), "brand", C.area("geom").alias("area"), C.srid("geom").alias("srid"))
 
@@ -156,7 +169,7 @@ def geojson_features(spark, sf):
 @query("select c, x, y, false as empty from cust_pt")
 def blob_headers(spark, sf):
     """The header of a blob read by built-in expressions, without a kernel."""
-    b = customers(spark, sf).withColumn("blob", U.gpkg_encode("geom", F.lit(27700)))
+    b = U.spread(customers(spark, sf)).withColumn("blob", U.gpkg_encode("geom", F.lit(27700)))
     h = gpkg.header(F.col("blob"))
     p = C.first_coordinate("geom")
     return b.where(h["magic"] & (h["srid"] == 27700) & h["little"] & (h["envelope_code"] == 0) & (h["version"] == 0)).select("c", p["x"].alias("x"), p["y"].alias("y"), h["empty"].alias("empty"))

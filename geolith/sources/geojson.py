@@ -48,6 +48,7 @@ def read(spark: SparkSession, path: str, key_transform=None) -> DataFrame:
     bare = F.struct(F.concat(F.lit('{"type":"'), F.col("type"), F.lit('",'), F.when(F.col("type") == "GeometryCollection", F.concat(F.lit('"geometries":'), "geometries")).otherwise(F.concat(F.lit('"coordinates":'), "coordinates")), F.lit("}")).alias("geometry"), F.lit(None).cast("string").alias("properties"))
     alone = F.when(F.col("type") == "Feature", F.struct("geometry", "properties")).otherwise(bare)
     rows = file.select(F.explode(F.when(F.col("type") == "FeatureCollection", F.col("features")).otherwise(F.array(alone))).alias("f")).select("f.geometry", "f.properties")
+    rows = U.spread(rows)  # a document is read by one task, however many features it has
     kind = rows.where("properties is not null").agg(F.expr("schema_of_variant_agg(parse_json(properties))")).first()[0]
     ddl = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", (kind or "").replace("OBJECT<", "STRUCT<"))
     whole = rows.select(from_geojson(F.when(F.col("geometry") != "null", F.col("geometry"))).alias("geom"), F.from_json("properties", ddl).alias("p") if ddl.startswith("STRUCT<") else F.lit(None).alias("p"))

@@ -91,3 +91,17 @@ def test_rows_of_a_geopackage_do_not_pass_through_the_driver(spark, tmp_path, mo
         assert all((r["minx"], r["maxx"], r["miny"], r["maxy"]) == ((None,) * 4 if r["none"] else (r["id"], r["id"] + 3, r["id"] * 2, r["id"] * 2 + 1)) for r in held)
     gpkg.write(df.limit(0), path, "hollow")
     assert gpkg.table_names(path) == ["boxes", "hollow"]
+
+
+def test_features_are_written_and_read_by_all_tasks(spark, monkeypatch):
+    """No row holds a whole collection when it is written, and one document's features are parsed by all tasks when it is read."""
+    import glob
+
+    from geolith.plans import files
+
+    folders = []
+    monkeypatch.setattr(files, "local_folder", lambda spark, name, f=files.local_folder: folders.append(f(spark, name)) or folders[-1])
+    df = catalogue.QUERIES["geojson_features"](spark, SF)
+    parts = glob.glob(f"{folders[0]}/json/part-*")
+    assert len(parts) > 1 and max(len(line) for p in parts for line in open(p)) < 1000
+    assert df.rdd.getNumPartitions() > 1 and df.count() == 200
