@@ -113,7 +113,8 @@ def envelope_polygons(spark, sf):
 @query("select k, 1 + (x1-x0 > 4)::int as lines, 2*(x1-x0+y1-y0) + case when x1-x0 > 4 then 4 else 0 end as length from part_box")
 def linearized(spark, sf):
     """Rims of polygons as lines: of one ring, and of a shell with a hole."""
-    df = corners(spark, sf).withColumn("g", F.when(width() > 4, holed()).otherwise(C.box("x0", "y0", "x1", "y1"))).withColumn("l", F.get(U.linearize("g"), F.lit(0)))
+    df = corners(spark, sf).withColumn("g", F.when(width() > 4, holed()).otherwise(C.box("x0", "y0", "x1", "y1")))
+    df = U.spread(df.select("k", "g")).withColumn("l", F.get(U.linearize("g"), F.lit(0)))
     return df.select("k", F.size(C.line_strings_of("l")).alias("lines"), C.length("l").alias("length"))
 
 
@@ -127,7 +128,7 @@ def wkt_polygon(spark, sf):
     """A text that Spark makes, parsed and written again."""
     n = lambda v: F.col(v).cast("long").cast("string")
     text = F.concat(F.lit("POLYGON (("), F.concat_ws(", ", *(F.concat_ws(" ", n(x), n(y)) for x, y in (P00, P01, P11, P10, P00))), F.lit("))"))
-    return corners(spark, sf).withColumn("g", U.from_wkt(text)).select("k", U.to_wkt("g").alias("wkt"), C.area("g").alias("area"))
+    return U.spread(corners(spark, sf)).withColumn("g", U.from_wkt(text)).select("k", U.to_wkt("g").alias("wkt"), C.area("g").alias("area"))
 
 
 @query("select k, (x1-x0)*(y1-y0) - case when x1-x0 > 4 then 1 else 0 end as area, 3 as points, 27700 as srid from part_box")
@@ -147,7 +148,7 @@ def normalized_wkt(spark, sf):
     turned = F.concat(F.slice(ring, at + 1, 4), F.slice(ring, F.lit(1), at + 1))
     turned = F.slice(turned, 1, 5)
     df = corners(spark, sf).withColumn("r", turned).withColumn("r", F.when(F.col("k") % 3 == 0, F.reverse("r")).otherwise(F.col("r"))).withColumn("g", C.polygon(F.col("r")))
-    return df.select("k", U.to_wkt(U.normalized("g")).alias("wkt"))
+    return U.spread(df.select("k", "g")).select("k", U.to_wkt(U.normalized("g")).alias("wkt"))
 
 
 # ---- predicates and overlay by the kernels -----------------------------------------------------------------------------
@@ -205,13 +206,13 @@ def interior_points(spark, sf):
 
 @query("select k, round((x0+x1)/2, 6) as cx, round((y0+y1)/2, 6) as cy, round(sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0))/2, 6) as r from part_box")
 def bounding_circles(spark, sf):
-    df = corners(spark, sf).withColumn("c", U.bounding_circle(C.box("x0", "y0", "x1", "y1")))
+    df = U.spread(corners(spark, sf)).withColumn("c", U.bounding_circle(C.box("x0", "y0", "x1", "y1")))
     return df.select("k", r6(F.col("c.cx"), "cx"), r6(F.col("c.cy"), "cy"), r6(F.col("c.r"), "r"))
 
 
 @query("select k, 'linear-ring' as kind, 2*(x1-x0+y1-y0) as length, 'multi-point' as line_kind, x0 as xmin, y1 as ymax, 2 as ends from part_box")
 def boundaries(spark, sf):
-    df = corners(spark, sf).withColumn("b", U.boundary(C.box("x0", "y0", "x1", "y1"))).withColumn("e", U.boundary(C.line_string(_ring(P00, P10, P11))))
+    df = U.spread(corners(spark, sf)).withColumn("b", U.boundary(C.box("x0", "y0", "x1", "y1"))).withColumn("e", U.boundary(C.line_string(_ring(P00, P10, P11))))
     return df.select("k", C.geometry_type("b").alias("kind"), C.length("b").alias("length"), C.geometry_type("e").alias("line_kind"), C.min_x("e").alias("xmin"), C.max_y("e").alias("ymax"), F.size(C.points_of("e")).alias("ends"))
 
 
@@ -251,7 +252,7 @@ def precision_boxes(spark, sf):
 
 @query("select k, 2 as n, round(w + h/2, 6) as first, round(h/2, 6) as second from (select k, x1-x0 as w, y1-y0 as h from part_box)")
 def split_lines(spark, sf):
-    df = corners(spark, sf).withColumn("s", U.split_line(C.line_string(_ring(P00, P10, P11)), C.point("x1", middle())))
+    df = U.spread(corners(spark, sf)).withColumn("s", U.split_line(C.line_string(_ring(P00, P10, P11)), C.point("x1", middle())))
     return df.select("k", F.size("s").alias("n"), r6(C.length(F.get("s", F.lit(0))), "first"), r6(C.length(F.get("s", F.lit(1))), "second"))
 
 
@@ -270,7 +271,7 @@ def cut_rims(spark, sf):
     """A closed line is cut as a line, a ring as a ring: the piece around its start is one. Uncut, a line comes back backwards and a ring as it is."""
     level, away = C.line_string(_ring((F.col("x0") - 1, middle()), (F.col("x1") + 1, middle()))), C.line_string(_ring((F.col("x0") - 9, "y0"), (F.col("x0") - 9, "y1")))
     df = corners(spark, sf).withColumn("l", C.line_string(rim())).withColumn("r", C.linear_ring(rim())).withColumn("c", level).withColumn("f", away)
-    df = df.select("*", U.cut_line("l", "c").alias("a"), U.cut_line("r", "c").alias("b"), U.cut_line("l", "f").alias("d"), U.cut_line("r", "f").alias("e"))
+    df = U.spread(df).select("*", U.cut_line("l", "c").alias("a"), U.cut_line("r", "c").alias("b"), U.cut_line("l", "f").alias("d"), U.cut_line("r", "f").alias("e"))
     part = lambda g, n: C.length(F.get(g, F.lit(n)))
     return df.select(
         "k", F.size("a").alias("line_pieces"), part("a", 0).alias("first"), part("a", 1).alias("second"), part("a", 2).alias("third"), F.size("b").alias("ring_pieces"), part("b", 0).alias("wrap"), part("b", 1).alias("rest"),

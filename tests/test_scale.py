@@ -105,3 +105,9 @@ def test_features_are_written_and_read_by_all_tasks(spark, monkeypatch):
     parts = glob.glob(f"{folders[0]}/json/part-*")
     assert len(parts) > 1 and max(len(line) for p in parts for line in open(p)) < 1000
     assert df.rdd.getNumPartitions() > 1 and df.count() == 200
+
+
+@pytest.mark.parametrize("name", ["cut_rims", "normalized_wkt"])
+def test_kernels_run_in_all_tasks(spark, name):
+    text = plan(catalogue.QUERIES[name](spark, SF))
+    assert text.rindex("RoundRobinPartitioning") > text.rindex("EvalPython")  # dealt below the kernels
